@@ -164,11 +164,29 @@ def _walk_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=names)
 
 
+def _climb(state: DataFrame, join_more: dict, rounds: int) -> DataFrame:
+    """Pointer doubling: every node's ``up`` becomes its up's up, until none is left or for
+    ``rounds`` rounds. ``join_more`` maps a column to how it merges with the up's."""
+    for _ in range(rounds):
+        if state.where("up is not null").isEmpty():
+            break
+        nxt = state.select(
+            "group", F.col("node").alias("up"), F.col("up").alias("up2"), *(F.col(c).alias(f"{c}2") for c in join_more)
+        )
+        grown = state.join(nxt, ["group", "up"], "left")
+        state = cut(
+            grown.select("group", "node", F.col("up2").alias("up"), *(f(c, f"{c}2").alias(c) for c, f in join_more.items()))
+        )
+    return state
+
+
 def _double(links: DataFrame) -> DataFrame:
     """Roots, depths and paths by pointer doubling: for components no task can hold.
 
-    ``links`` is ``group, node, parent``. After k rounds each node knows its 2**k nearest
-    ancestors; rounds end when all have met a top or their own cycle.
+    ``links`` is ``group, node, parent``. First the cycles: after as many steps as there are
+    nodes every pointer that found no top is on a cycle, and every cycle member is pointed to;
+    the least id met on the way is the cycle's. Members are then hung below it, which leaves
+    a forest, whose paths double until all have met their root.
     """
     one = links.groupBy("group", "node").agg(F.min("parent").alias("parent"))
     tops = (
@@ -176,99 +194,37 @@ def _double(links: DataFrame) -> DataFrame:
         .select("group", F.col("parent").alias("node"))
         .join(one, ["group", "node"], "left_anti")
         .distinct()
+        .withColumn("parent", F.lit(None).cast("string"))
     )
-    state = cut(
-        one.select("group", "node", F.col("parent").alias("up"), F.array_compact(F.array("parent")).alias("above"))
-        .unionByName(
-            tops.select("group", "node", F.lit(None).cast("string").alias("up"), F.array().cast("array<string>").alias("above"))
-        )
-    )
-    while True:
-        nxt = state.select("group", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("above").alias("above2"))
-        grown = state.join(nxt, ["group", "up"], "left")
-        state = cut(
-            grown.select(
-                "group",
-                "node",
-                # a chain that holds its node or a repeat goes round: stop there
-                F.when(
-                    F.array_contains("above", F.col("node"))
-                    | (F.size(F.array_distinct("above")) < F.size("above")),
-                    F.lit(None),
-                )
-                .otherwise(F.col("up2"))
-                .alias("up"),
-                F.when(
-                    F.array_contains("above", F.col("node"))
-                    | (F.size(F.array_distinct("above")) < F.size("above")),
-                    F.col("above"),
-                )
-                .otherwise(F.concat("above", F.coalesce("above2", F.array().cast("array<string>"))))
-                .alias("above"),
-            )
-        )
-        if state.where("up is not null").isEmpty():
-            break
-    twice = F.filter("above", lambda x: F.size(F.filter("above", lambda y: y == x)) > 1)
-    ring = (
-        F.when(F.array_contains("above", F.col("node")), F.slice("above", 1, F.array_position("above", F.col("node")).cast("int")))
-        .when(F.size(twice) > 0, F.array_distinct(twice))
-    )
-    rooted = state.withColumn("ring", ring).withColumn(
-        "on_cycle", F.coalesce(F.array_contains("ring", F.col("node")), F.lit(False))
-    )
-    line = F.when(F.col("ring").isNull(), F.col("above")).otherwise(
-        F.filter(F.array_distinct("above"), lambda x: ~F.array_contains("ring", x))
-    )
-    entry = F.when(
-        F.col("ring").isNotNull() & ~F.col("on_cycle"),
-        F.element_at(F.filter("above", lambda x: F.array_contains("ring", x)), 1),
-    )
-    root = F.when(F.col("ring").isNull(), F.coalesce(F.try_element_at("above", F.lit(-1)), F.col("node"))).otherwise(
-        F.array_min("ring")
-    )
-    shaped = rooted.select(
+    base = cut(one.unionByName(tops))
+    pointers = base.select("group", "node", F.col("parent").alias("up"), F.col("node").alias("least"))
+    ended = _climb(pointers, {"least": lambda a, b: F.least(a, b)}, base.count().bit_length() + 1)
+    met = ended.where("up is not null").select("group", F.col("up").alias("node")).distinct()
+    ring = cut(ended.join(met, ["group", "node"], "left_semi").select("group", "node", F.col("least").alias("ring")))
+    forest = base.join(ring, ["group", "node"], "left").select(
         "group",
         "node",
-        root.alias("root"),
-        F.when(
-            F.col("ring").isNull(), F.concat(F.reverse("above"), F.array("node"))
-        )
-        .otherwise(
-            F.array_distinct(
-                F.concat(
-                    F.array(F.array_min("ring")),
-                    F.array_compact(F.array(entry)),
-                    F.reverse(F.when(F.col("on_cycle"), F.array().cast("array<string>")).otherwise(line)),
-                    F.array("node"),
-                )
-            )
-        )
-        .alias("path"),
-        "ring",
-        "on_cycle",
+        F.when(F.col("ring").isNull(), F.col("parent")).when(F.col("ring") != F.col("node"), F.col("ring")).alias("up"),
     )
-    shaped = cut(shaped)
+    start = cut(forest.withColumn("above", F.array_compact(F.array("up"))))
+    none = F.array().cast("array<string>")
+    full = _climb(start, {"above": lambda a, b: F.concat(a, F.coalesce(F.col(b), none))}, 64)
+    paths = cut(full.select("group", "node", F.concat(F.reverse("above"), F.array("node")).alias("path")))
     below = (
-        shaped.select(
-            "group",
-            F.explode(
-                F.array_distinct(F.concat(F.coalesce("ring", F.array().cast("array<string>")), F.col("path")))
-            ).alias("anc"),
-            "node",
-        )
-        .where("anc <> node")
-        .groupBy("group", F.col("anc").alias("node"))
-        .agg(F.count("*").alias("n_descendants"))
+        paths.select("group", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node"))
+        .groupBy("group", "node")
+        .agg(F.count("*").alias("n"))
     )
-    return shaped.join(below, ["group", "node"], "left").select(
+    counted = paths.join(below, ["group", "node"], "left").join(ring, ["group", "node"], "left")
+    of_ring = below.select("group", F.col("node").alias("ring"), F.col("n").alias("ring_n"))
+    return counted.join(of_ring, ["group", "ring"], "left").select(
         "group",
         "node",
-        "root",
+        F.col("path")[0].alias("root"),
         (F.size("path") - 1).alias("depth"),
         "path",
-        F.coalesce("n_descendants", F.lit(0)).cast("long").alias("n_descendants"),
-        "on_cycle",
+        F.coalesce("ring_n", "n", F.lit(0)).cast("long").alias("n_descendants"),
+        F.col("ring").isNotNull().alias("on_cycle"),
     )
 
 
