@@ -198,8 +198,9 @@ def token_ids(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY)
     """``docs`` without ``text`` and with ``ids``, the token ids of each row's text.
 
     One row out for each row in, whatever repeats; null and empty texts give an empty list;
-    text that looks like a special token is ordinary text. Other columns pass through.
-    A narrow, per-row operator: no shuffle at any size; whole texts, batches of 256 rows.
+    text that looks like a special token is ordinary text. Other columns pass through, but for
+    one named ``ids``, which the result replaces. A narrow, per-row operator: no shuffle at
+    any size; whole texts, in Arrow batches that the engine bounds in bytes.
     """
     ranks = _ranks(docs.sparkSession, vocabulary)
 
@@ -213,7 +214,8 @@ def token_ids(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY)
 
 
 def token_counts(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``docs`` without ``text`` and with ``n_tokens``, 0 for null and empty texts."""
+    """``docs`` without ``text`` and with ``n_tokens``, 0 for null and empty texts; a column of
+    that name is replaced."""
     ranks = _ranks(docs.sparkSession, vocabulary)
 
     @F.pandas_udf("long")

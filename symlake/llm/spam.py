@@ -179,14 +179,13 @@ def spam_pages(docs: DataFrame, text: str = "text") -> DataFrame:
     operator over whole texts: nothing is shuffled, and other columns are not read.
     """
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kinds = [spam_kind(profile(t)) for t in batch["text"]]
-            out = pd.DataFrame({"doc_id": batch["doc_id"], "kind": kinds})
-            yield out[out["kind"].notna()]
-
-    return (
-        docs.where(F.col(text).isNotNull())
-        .select("doc_id", F.col(text).alias("text"))
-        .mapInPandas(judge, "doc_id long, kind string")
-    )
+    @F.pandas_udf("string")
+    def judge(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([spam_kind(profile(t)) for t in part], dtype=object)
+
+    #: not deterministic as far as the optimizer is told, else it would judge twice: for the
+    #: filter and for the column
+    kind = judge.asNondeterministic()(F.col(text))
+    judged = docs.where(F.col(text).isNotNull()).select("doc_id", kind.alias("kind"))
+    return judged.where("kind is not null")

@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from symlake.llm import bpe, handwritten, mixing, pairs, spam
 from tests import helpers as h
@@ -321,3 +322,18 @@ def test_queries_of_the_subpackage():
     import __spark_entry__
 
     assert {"p2_found", "p7_found", "p8_ids", "p9_mix", "p9_shares", "p10_found"} <= set(__spark_entry__.queries())
+
+
+def test_extra_columns_nulls_and_large_ids(spark):
+    rows = [(None, "\n".join(URLS), "a", None), (2**62 + 1, "\n".join(URLS), "a", "x"), (5, None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, kind string")
+    for name in ("ids", "n_tokens", "range", "u", "whole", "extra", "repeats", "verdict"):
+        df = df.withColumn(name, F.lit("x"))
+    assert sorted(str(r["doc_id"]) for r in spam.spam_pages(df).collect()) == [str(2**62 + 1), "None"]
+    assert bpe.token_ids(df).where("size(ids) > 0").count() == 2
+    targets = spark.createDataFrame([("a", 1.0, 2, "x")], "source string, target_share double, max_repeats int, rest string")
+    assert mixing.mixture(df, targets)[1].first()["actual_share"] == 1.0
+    files = h.files(spark, [{"file_id": "f", "path": "a.g.cs"}, {}])
+    assert h.rows(handwritten.not_handwritten(files.withColumn("verdict", F.lit("x")))) == [("f",)]
+    sym = h.symbols(spark, [{"symbol_id": "M:a", "documentation": "Waits long."}, {k: None for k in ("kind", "repo_id", "commit_sha", "file_id")}])
+    assert pairs.documented_symbols(sym.withColumn("signature2", F.lit(1))).count() == 1
