@@ -165,6 +165,7 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, cells: int = CELLS)
     least payload. Keys of more than ``8 * MAX_WORDS`` bytes are told apart and reported by
     their SHA-256 in hexadecimal digits.
     """
+    rows = rows.select("repo_id", "commit_sha", "key", "payload")
     #: snapshot counts per repository: one row each, joined by whatever way its size allows
     last = snapshots.groupBy("repo_id").agg(F.max("ord").alias("last_ord"))
     known = snapshots.join(last, "repo_id").select("repo_id", "commit_sha", "ord", "last_ord")

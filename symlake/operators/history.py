@@ -21,7 +21,7 @@ def version_starts(rows: DataFrame, snapshots: DataFrame, entity: str, payload:
     entity or of no known snapshot are left out. Repeated rows are folded before the sort;
     of conflicting ones the least payload holds. Null payloads are values of their own.
     """
-    keyed = rows.where(F.col(entity).isNotNull()).join(
+    keyed = rows.where(F.col(entity).isNotNull()).select("repo_id", "commit_sha", entity, *payload).join(
         snapshots.select("repo_id", "commit_sha", "ord"), ["repo_id", "commit_sha"]
     )
     once = keyed.groupBy("repo_id", entity, "ord").agg(F.min(F.struct(*payload)).alias("payload"))

@@ -115,14 +115,11 @@ def dominant_symbols(refs: DataFrame, min_share: float = 0.02) -> DataFrame:
     a symbol; null and empty are not symbols. An empty table gives no rows.
     """
     out = None
-    total = refs.agg(F.count("*").alias("total"))
+    total = refs.count()
     for side in ("from", "to"):
         keyed = refs.select(named(F.col(f"{side}_symbol_id")).alias("symbol_id"))
         per = rows_by_key(keyed, "symbol_id", min_share / 2)
-        part = per.crossJoin(F.broadcast(total)).where(
-            F.col("n_rows") >= F.col("total") * F.lit(min_share)
-        )
-        part = part.select(F.lit(side).alias("side"), "symbol_id")
+        part = per.where(F.col("n_rows") >= total * min_share).select(F.lit(side).alias("side"), "symbol_id")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -296,3 +296,29 @@ def test_squeeze(spark):
 
     df = spark.createDataFrame([(" a  b c　d\n",), (None,), ("  ",)], "x string")
     assert [r[0] for r in df.select(squeeze(F.col("x"))).collect()] == ["a b c d", None, ""]
+
+
+# --- extra columns ---------------------------------------------------------------------------
+
+
+def test_extra_columns_with_clashing_names_do_no_harm(spark):
+    from pyspark.sql import functions as F
+
+    def dressed(df):
+        for name in ("ord", "n", "n_rows", "side", "payload", "key", "bucket", "cells", "comp", "node", "period", "k1", "salt", "total", "group", "root"):
+            df = df.withColumn(name, F.lit("x"))
+        return df
+
+    refs = dressed(h.refs(spark, [{"to_symbol_id": "M:a", "from_symbol_id": "M:b", "indexed_at": h.START}]))
+    sym = dressed(h.symbols(spark, [{"symbol_id": "T:N.O", "fqname": "N.O", "kind": "class", "stable_id": "s"}, {"symbol_id": "T:N.O.P", "fqname": "N.O.P", "kind": "class", "containing_type": "N.O"}]))
+    fil, fac, rel = dressed(h.files(spark, [{"file_id": "f1", "path": "a"}])), dressed(h.facts(spark, [{"file_id": "f2"}])), dressed(h.type_relations(spark, []))
+    base, stubs = dressed(h.baselines(spark, ["c1"])), dressed(spark.createDataFrame([("M:z",)], "symbol_id string"))
+    snaps = built_snapshots(base, sym, fil)
+    assert skew.dominant_symbols(refs).count() == 2 and skew.symbol_usage(refs, sym).count() == 2
+    assert skew.reference_targets(refs, sym).count() == 1
+    assert h.rows(trees.type_roots(rel, sym)) == [("containment", "T:N.O.P", "T:N.O")]
+    assert history.symbol_versions(sym, snaps).count() == 1 and history.symbol_history(sym, snaps).count() == 1
+    assert h.rows(orphans.orphan_references(refs, fac, sym, fil, stubs)) == [("facts", 0), ("refs", 0)]
+    assert orphans.orphan_report(refs, fac, sym, fil, stubs, base).count() == 2
+    assert changes.symbol_and_file_changes(sym, fil, snaps).isEmpty()
+    assert changes.snapshot_changes(dressed(sym.select("repo_id", "commit_sha")), snaps).isEmpty()
