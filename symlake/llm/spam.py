@@ -57,9 +57,20 @@ HASHTAG = re.compile(r"(?<!\S)#(?=\w*[^\W\d_])\w+")
 PARTS, PART_WORDS = 6, 6
 #: Weight of a link besides its words.
 LINK_WEIGHT = 3
+#: Words of search advertising in the languages of the corpus.
+SEARCH_WORDS = frozenset(
+    """
+    best top cheap free buy order price discount coupon deal sale online download review tutorial crack keygen
+    license full version near me 2024 2025 2026 beste bester billig günstig kaufen bestellen preis rabatt gutschein
+    angebot kostenlos vergleich testsieger meilleur gratuit acheter commander prix promo remise avis télécharger
+    comparatif mejor barato gratis comprar precio descuento oferta opiniones descargar cupón
+    """.split()
+)
 #: Share of a page's weight that few shapes hold when they dominate it, and units of links or
-#: articles, words of phrases and share of repeated words that make a list or heap of them.
+#: articles, words of phrases and share of repeated words that make a list or heap of them; a
+#: smaller share of repeated words does where search words have their share.
 DOMINANT, LEAST_UNITS, LEAST_WORDS, REPEATED = 0.5, 8, 20, 0.25
+REPEATED_SEARCH, SEARCHED = 0.08, 0.08
 
 
 def units(text: str) -> list[tuple[str, bool]]:
@@ -126,8 +137,8 @@ def shape(unit: str, member: bool) -> tuple[str, list[str]]:
 
 
 def profile(text: str | None) -> dict[str, float]:
-    """Weight of each shape, numbers of link and article units, words of phrases and the share
-    of them that repeats; all zero for null and blank texts."""
+    """Weight of each shape, numbers of link and article units, words of phrases, the share of
+    them that repeats and that of search words; all zero for null and blank texts."""
     weight: Counter = Counter()
     number: Counter = Counter()
     phrases: Counter = Counter()
@@ -150,6 +161,7 @@ def profile(text: str | None) -> dict[str, float]:
         "articles": number["article"],
         "phrase_words": heap,
         "repeat": 1 - len(phrases) / heap if heap else 0.0,
+        "searched": sum(n for w, n in phrases.items() if w in SEARCH_WORDS) / heap if heap else 0.0,
     }
 
 
@@ -158,7 +170,8 @@ def spam_kind(p: dict[str, float]) -> str | None:
     if not p["total"]:
         return None
     least = DOMINANT * p["total"]
-    heap = p["phrase"] if p["repeat"] >= REPEATED else 0
+    often = p["repeat"] >= (REPEATED_SEARCH if p["searched"] >= SEARCHED else REPEATED)
+    heap = p["phrase"] if often else 0
     if p["link"] >= least and p["links"] >= LEAST_UNITS:
         return "links"
     if p["article"] >= least and p["articles"] >= LEAST_UNITS:
