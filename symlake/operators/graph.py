@@ -43,15 +43,22 @@ def adjacency(refs: DataFrame, limit: int, callers: bool = True) -> DataFrame:
 
 
 def traverse(
-    roots: DataFrame, refs: DataFrame, depth: int = 2, limit: int = 20, callers: bool = True
+    roots: DataFrame,
+    refs: DataFrame,
+    depth: int = 2,
+    limit: int = 20,
+    callers: bool = True,
+    aliases: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Breadth-first traversal from each root within its snapshot.
 
     ``roots`` has repo_id, commit_sha, root. Returns ``nodes(repo_id, commit_sha, root,
-    symbol_id, depth, truncated)`` without the root itself at depth 0 missing, and ``edges(repo_id,
-    commit_sha, root, from_node, to_node, depth)``, the expansions of admitted nodes. A level
-    admits at most ``limit`` new nodes per root in the order of their parents; more set
-    ``truncated``; edges are recorded even to nodes seen before or not admitted.
+    symbol_id, depth, truncated)`` with the root at depth 0, and ``edges(repo_id, commit_sha,
+    root, from_node, to_node, depth)``, the expansions of admitted nodes. A level admits at
+    most ``limit`` new nodes per root in the order of their parents; more set ``truncated``;
+    edges are recorded even to nodes seen before or not admitted. ``aliases`` (keys, root,
+    symbol_id) are nodes whose neighbours count as the root's, such as the interface members
+    a method stands for.
     """
     depth = max(0, min(depth, MAX_DEPTH))
     near = adjacency(refs, limit, callers).withColumnRenamed("node", "at")
@@ -62,7 +69,15 @@ def traverse(
     edges = []
     for d in range(1, depth + 1):
         parents = levels[-1].select(*query, F.col("symbol_id").alias("at"), F.col("place").alias("parent_place"))
+        if d == 1 and aliases is not None:
+            other = Window.partitionBy(*query).orderBy("symbol_id")
+            extra = aliases.join(start, query, "left_semi").select(
+                *query, F.col("symbol_id").alias("at"), (F.row_number().over(other) + 1).alias("parent_place")
+            )
+            parents = parents.unionByName(extra)
         expanded = parents.join(near, [*KEY, "at"])
+        if d == 1 and aliases is not None:
+            expanded = expanded.withColumn("at", F.col("root"))
         edges.append(
             expanded.select(*query, F.col("at").alias("from_node"), F.col("other").alias("to_node"), F.lit(d).alias("depth"))
         )

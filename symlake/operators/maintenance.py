@@ -86,6 +86,27 @@ def structural_ids(symbols: DataFrame) -> DataFrame:
     )
 
 
+def plain_ids(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Ids and content hashes by value: ``symbol_id, plain_id, content_hash``.
+
+    ``plain_id`` hashes kind, full name and project (a rename changes it), ``content_hash`` all
+    that a card shows, to tell whether a symbol changed between two states.
+    """
+    own = files.select(*KEY, "file_id", "project_name")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = symbols.join(own, [*KEY, "file_id"], "left")
+    named = F.concat(text("kind"), F.lit("\0"), text("fqname"), F.lit("\0"), text("project_name"))
+    shown = F.concat_ws(
+        "|", text("kind"), text("signature"), text("documentation"), F.concat(text("span_start"), F.lit("-"), text("span_end")), text("visibility")
+    )
+    return rows.select(
+        *KEY,
+        "symbol_id",
+        F.concat(F.lit("sym_"), F.substring(F.sha2(named, 256), 1, 16)).alias("plain_id"),
+        F.substring(F.sha2(shown, 256), 1, 16).alias("content_hash"),
+    )
+
+
 def savings(hits: DataFrame) -> DataFrame:
     """Tokens and money a search spares, per query: ``n_hits, tokens_saved, usd_saved``."""
     tokens = F.count("*") * SAVED_PER_HIT

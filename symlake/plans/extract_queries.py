@@ -27,6 +27,12 @@ def extract_relations(spark: SparkSession, d: str) -> DataFrame:
     return x.extract_relations(_files(spark, d))
 
 
+def extract_document_facts(spark: SparkSession, d: str) -> DataFrame:
+    return x.extract_facts(_documents_as_files(spark, d)).groupBy("fact_kind").agg(
+        F.count("*").alias("n_facts"), F.count_distinct("file_id").alias("n_documents")
+    )
+
+
 def extract_calls(spark: SparkSession, d: str) -> DataFrame:
     return x.extract_calls(_files(spark, d))
 
@@ -94,7 +100,7 @@ found AS (
   FROM {line})"""
 
 
-def _facts() -> str:
+def _facts(lines: str = _LINES) -> str:
     m = lambda p: f"regexp_matches(line, '{q(p)}')"
     slash = lambda p: f"'/' || regexp_replace({p}, '^[/~]+', '')"
     g = _g
@@ -109,6 +115,12 @@ def _facts() -> str:
         ("DiRegistration", x.HOSTED, f"'IHostedService → ' || {g(x.HOSTED, 1)} || '|Singleton|HostedService'", "High"),
         ("Exception", x.THROW, f"{g(x.THROW, 1)} || '|throw new'", "High"),
         ("Exception", x.RETHROW, "'rethrow|re-throw'", "High"),
+        ("RazorInject", x.RAZOR_INJECT, f"{g(x.RAZOR_INJECT, 2)} || ': ' || {g(x.RAZOR_INJECT, 1)}", "High"),
+        ("RazorParameter", x.RAZOR_PARAMETER, f"{g(x.RAZOR_PARAMETER, 2)} || ': ' || {g(x.RAZOR_PARAMETER, 1)}", "High"),
+        ("Route", x.VB_ROUTE, f"upper({g(x.VB_ROUTE, 1)}) || ' ' || {slash(g(x.VB_ROUTE, 2))}", "High"),
+        ("DiRegistration", x.VB_REGISTRATION, f"{g(x.VB_REGISTRATION, 2)} || ' → ' || {g(x.VB_REGISTRATION, 3)} || '|' || {g(x.VB_REGISTRATION, 1)}", "High"),
+        ("Exception", x.VB_THROW, f"{g(x.VB_THROW, 1)} || '|throw new'", "High"),
+        ("DbTable", x.VB_DB_SET, f"{g(x.VB_DB_SET, 1)} || '|DbSet<' || {g(x.VB_DB_SET, 2)} || '>'", "High"),
         ("Log", x.LOG, f"{g(x.LOG, 2)} || '|' || {g(x.LOG, 1)}", "High"),
         ("RetryPolicy", x.RETRY, f"{g(x.RETRY, 1)} || CASE WHEN {g(x.RETRY, 2)} <> '' THEN ' ' || {g(x.RETRY, 2)} ELSE '' END || '|Polly'", "Medium"),
     ]
@@ -121,7 +133,7 @@ def _facts() -> str:
     name = r'(?i)\b(?:FROM|INTO|UPDATE|JOIN)\s+((?:[\[\"`]?\w+[\]\"`]?\.)?[\[\"`]?[A-Za-z_]\w*[\]\"`]?)'
     strings = "regexp_replace(array_to_string(regexp_extract_all(line, '\"([^\"]*)\"', 1), ' '), '\\s+', ' ', 'g')"
     names = f"list_distinct(list_transform(regexp_extract_all({strings}, '{q(name)}', 1), lambda n: regexp_replace(n, '[\\[\\]\"`]', '', 'g')))"
-    return f"""WITH {_LINES},
+    return f"""WITH {lines},
 code AS (SELECT * FROM line WHERE NOT regexp_matches(line, '^\\s*(?://|\\*|/\\*|'')')),
 raw AS (SELECT {K}, file_id, CAST(n AS INT) AS line, unnest({names}) AS t FROM code
         WHERE regexp_matches(line, '(?i)"[^"]*\\b(?:FROM|INTO|UPDATE|JOIN)\\s+\\S')),
@@ -137,16 +149,20 @@ UNION ALL SELECT {K}, file_id, line, 'Middleware', name || '|pos:' || CAST(pos A
 
 _CALL = r"((?:new\s+)?(?:[A-Za-z_]\w*\??\.)?[A-Za-z_]\w*)(?:<[^<>()]*>)?\("
 
-SQL = {
-    "extract_facts": _facts(),
-    "extract_symbols": f"""WITH {_LINES}, {_declared('line')}
-SELECT {K}, file_id, CAST(n AS INT) AS line, kind, name, namespace, 'Low' AS confidence FROM found WHERE kind IS NOT NULL""",
-    "extract_document_symbols": f"""WITH line AS (
+_DOCUMENT_LINES = """line AS (
   SELECT 'documents' AS repo_id, '' AS commit_sha, CAST(doc_id AS VARCHAR) AS file_id,
          CAST(doc_id AS VARCHAR) || '.' || CASE lower(lang) WHEN 'csharp' THEN 'cs' WHEN 'vb' THEN 'vb' WHEN 'fsharp' THEN 'fs' WHEN 'sql' THEN 'sql' ELSE 'txt' END AS path,
          unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) AS line,
          unnest(range(1, len(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) + 1)) AS n
-  FROM documents WHERE text IS NOT NULL), {_declared('line')}
+  FROM documents WHERE text IS NOT NULL)"""
+
+SQL = {
+    "extract_document_facts": f"""SELECT fact_kind, count(*) AS n_facts, count(DISTINCT file_id) AS n_documents
+FROM ({_facts(_DOCUMENT_LINES)}) GROUP BY fact_kind""",
+    "extract_facts": _facts(),
+    "extract_symbols": f"""WITH {_LINES}, {_declared('line')}
+SELECT {K}, file_id, CAST(n AS INT) AS line, kind, name, namespace, 'Low' AS confidence FROM found WHERE kind IS NOT NULL""",
+    "extract_document_symbols": f"""WITH {_DOCUMENT_LINES}, {_declared('line')}
 SELECT file_id, CAST(n AS INT) AS line, kind, name, namespace FROM found WHERE kind IS NOT NULL""",
     "extract_relations": f"""WITH {_LINES},
 h AS (SELECT {K}, file_id, {_g(x.CS_TYPE, 2)} AS type_name,
@@ -178,6 +194,7 @@ SELECT * FROM t WHERE table_name <> '' AND lower(table_name) NOT IN ({', '.join(
 QUERIES = {
     f.__name__: f
     for f in (
+        extract_document_facts,
         extract_facts,
         extract_symbols,
         extract_relations,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.operators import diff, graph, maintenance, overlay, references, search, summary, surfaces, text
+from symlake.operators import context, diff, graph, maintenance, overlay, references, search, summary, surfaces, text
 from symlake.operators.snapshots import built_snapshots
 from symlake.plans import index_sql
 from symlake.session import table
@@ -281,6 +281,31 @@ def structural_ids(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.structural_ids(rel(spark, d, "symbols"))
 
 
+def plain_ids(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.plain_ids(rel(spark, d, "symbols"), rel(spark, d, "files"))
+
+
+def symbols_context(spark: SparkSession, d: str) -> DataFrame:
+    tables = (rel(spark, d, t) for t in ("symbols", "refs", "files"))
+    return context.contexts(_route_owners(spark, d), *tables)
+
+
+def symbols_by_file(spark: SparkSession, d: str) -> DataFrame:
+    return context.symbols_by_file(rel(spark, d, "symbols"), rel(spark, d, "files"))
+
+
+def interface_callers(spark: SparkSession, d: str) -> DataFrame:
+    return context.interface_callers(rel(spark, d, "symbols"), rel(spark, d, "refs"), rel(spark, d, "type_relations"))
+
+
+def search_answers(spark: SparkSession, d: str) -> DataFrame:
+    return context.search_answers(search.search(rel(spark, d, "symbols"), SEARCHES, LIMIT))
+
+
+def diff_rendered(spark: SparkSession, d: str) -> DataFrame:
+    return context.render_changes(diff.symbol_diff(rel(spark, d, "symbols"), _snapshots(spark, d)))
+
+
 def search_savings(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.savings(search.search(rel(spark, d, "symbols"), SEARCHES, LIMIT))
 
@@ -294,7 +319,8 @@ surfaces_registrations surfaces_middleware code_search_text code_search_glob cod
 diff_symbols diff_facts diff_statistics overlay_changes overlay_deleted overlay_symbols overlay_refs
 overlay_facts overlay_type_relations summary_statistics summary_levels summary_sections
 summary_errors_and_logs summary_services summary_export summary_projects baselines_catalog
-baselines_cleanup baselines_reclaimed structural_ids search_savings
+baselines_cleanup baselines_reclaimed structural_ids search_savings plain_ids symbols_context symbols_by_file interface_callers search_answers
+diff_rendered
 """.split()
 SQL = index_sql.SQL
 QUERIES = {n: globals()[n] for n in _NAMES}

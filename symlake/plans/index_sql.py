@@ -499,4 +499,43 @@ x AS (SELECT *, concat_ws('|', kind, coalesce(containing_type, ''), coalesce(nam
         regexp_extract(coalesce(signature, ''), '^(?:static )?([^ (]+) ', 1), regexp_extract(symbol_id, '\\((.*)\\)$', 1)) AS shape FROM sym),
 n AS (SELECT *, row_number() OVER (PARTITION BY {K}, shape ORDER BY span_start, symbol_id) - 1 AS n FROM x)
 SELECT {K}, symbol_id, 'sym_' || substr(sha256(CASE WHEN n > 0 THEN shape || '#' || CAST(n AS VARCHAR) ELSE shape END), 1, 16) AS structural_id FROM n""",
+    "plain_ids": f"""WITH {SYM}, {FILE}
+SELECT s.repo_id, s.commit_sha, symbol_id,
+  'sym_' || substr(sha256(coalesce(kind, '') || chr(0) || coalesce(fqname, '') || chr(0) || coalesce(project_name, '')), 1, 16) AS plain_id,
+  substr(sha256(concat_ws('|', coalesce(kind, ''), coalesce(signature, ''), coalesce(documentation, ''),
+    coalesce(CAST(span_start AS VARCHAR), '') || '-' || coalesce(CAST(span_end AS VARCHAR), ''), coalesce(visibility, ''))), 1, 16) AS content_hash
+FROM sym s LEFT JOIN file f ON f.repo_id = s.repo_id AND f.commit_sha = s.commit_sha AND f.file_id = s.file_id""",
+    "symbols_context": f"""WITH {_bfs(_ROUTES, 'from_symbol_id', 'to_symbol_id', 10)}, {FILE},
+n AS (SELECT n.repo_id, n.commit_sha, root, depth, n.symbol_id, coalesce(kind, 'method') AS kind, signature, span_start, span_end, content,
+      span_end - span_start + 1 AS n_lines, CASE WHEN depth = 0 THEN 200 ELSE 50 END AS most
+      FROM nodes n LEFT JOIN sym s ON s.repo_id = n.repo_id AND s.commit_sha = n.commit_sha AND s.symbol_id = n.symbol_id
+      LEFT JOIN file f ON f.repo_id = s.repo_id AND f.commit_sha = s.commit_sha AND f.file_id = s.file_id WHERE depth <= 1)
+SELECT {K}, root, depth, symbol_id, kind, signature, n_lines, n_lines > most AS truncated,
+       CASE WHEN content IS NOT NULL AND span_start IS NOT NULL THEN array_to_string(list_slice(regexp_split_to_array(content, '\\r?\\n'),
+         greatest(span_start, 1), greatest(span_start, 1) + greatest(least(n_lines, most), 0) - 1), chr(10)) END AS code FROM n""",
+    "symbols_by_file": f"""WITH {SYM}, {FILE}
+SELECT s.repo_id, s.commit_sha, path, count(*) AS n_symbols, array_to_string(list(symbol_id ORDER BY span_start, symbol_id), chr(10)) AS outline
+FROM sym s JOIN file f ON f.repo_id = s.repo_id AND f.commit_sha = s.commit_sha AND f.file_id = s.file_id
+GROUP BY s.repo_id, s.commit_sha, path""",
+    "search_answers": f"""WITH {_search(['reader', 'order service', 'Snapshot.Read', 'IQueueStore', 'merge al'], 20)}
+SELECT query, {K}, CASE WHEN count(*) = 1 THEN '1 symbol' ELSE CAST(count(*) AS VARCHAR) || ' symbols' END || ' for ''' || query || '''' ||
+  CASE WHEN bool_or(truncated) THEN ', more exist.' ELSE '.' END || ' Best: ' || arg_min(symbol_id, rank) AS answer
+FROM found GROUP BY query, {K}""",
+    "diff_rendered": f"""WITH {DIFF},
+l AS (SELECT repo_id, CAST(ord AS INT) AS ord, '- ' || change_kind || ': ' || coalesce(from_id || CASE WHEN to_id <> from_id THEN ' -> ' || to_id ELSE '' END, to_id) AS line FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, ord ORDER BY line) AS rank, count(*) OVER (PARTITION BY repo_id, ord) AS n_changes FROM l)
+SELECT repo_id, ord, min(n_changes) AS n_changes, array_to_string(list(line ORDER BY rank), chr(10)) AS body FROM r WHERE rank <= 50 GROUP BY repo_id, ord""",
+    "interface_callers": f"""WITH {SYM}, {REL}, {REF},
+m AS (SELECT {K}, symbol_id, 'T:' || regexp_extract(symbol_id, '^[A-Z]:(.*?)\\.[^.(]+(?:\\(.*)?$', 1) AS type_symbol_id,
+      substr(symbol_id, 1, 2) AS k, regexp_extract(symbol_id, '^[A-Z]:.*?(\\.[^.(]+(?:\\(.*)?)$', 1) AS tail
+      FROM sym WHERE regexp_matches(symbol_id, '^[MPE]:')),
+w AS (SELECT m.repo_id, m.commit_sha, m.symbol_id, k || substr(related_symbol_id, 3) || tail AS interface_member
+      FROM m JOIN rel r ON r.repo_id = m.repo_id AND r.commit_sha = m.commit_sha AND r.type_symbol_id = m.type_symbol_id
+      WHERE relation_kind = 'interface'),
+i AS (SELECT w.* FROM w JOIN sym s ON s.repo_id = w.repo_id AND s.commit_sha = w.commit_sha AND s.symbol_id = w.interface_member),
+c AS (SELECT {K}, to_symbol_id, least(count(DISTINCT from_symbol_id), 50) AS n FROM ref
+      WHERE ref_kind IN ('Call', 'Instantiate') AND to_symbol_id IS NOT NULL AND from_symbol_id IS NOT NULL GROUP BY {K}, to_symbol_id)
+SELECT i.repo_id, i.commit_sha, i.symbol_id, count(*) AS n_interfaces, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_callers
+FROM i LEFT JOIN c ON c.repo_id = i.repo_id AND c.commit_sha = i.commit_sha AND c.to_symbol_id = i.interface_member
+GROUP BY i.repo_id, i.commit_sha, i.symbol_id""",
 }

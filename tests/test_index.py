@@ -357,3 +357,49 @@ def test_empty_relations_give_empty_answers(spark):
     snaps = h.snapshots(spark, ["c1", "c2"])
     for out in (search.search(sym, ["a"]), references.find(refs, files), references.resolve(refs, sym), surfaces.db_tables(facts), summary.statistics(sym, refs, facts, files), summary.export(facts), graph.type_hierarchy(rel, sym), diff.symbol_diff(sym, snaps), diff.fact_diff(facts, snaps), extract.extract_facts(files), text.search_text(files, "a")):
         assert out.isEmpty()
+
+
+# --- context and upkeep of workspaces ----------------------------------------------------------
+
+
+def test_context_answers_and_outlines(spark):
+    from symlake.operators import context
+
+    files = relations.files(h.files(spark, [{"file_id": "f1", "path": "a.cs", "content": "one\r\ntwo\nthree"}]))
+    sym = relations.symbols(h.symbols(spark, [{"symbol_id": "M:A", "span_start": 2, "span_end": 3}, {"symbol_id": "M:B", "file_id": "f9"}]))
+    refs = relations.refs(h.refs(spark, [{"from_symbol_id": "M:A", "to_symbol_id": "M:B"}]))
+    roots = spark.createDataFrame([("r", "c1", "M:A")], "repo_id string, commit_sha string, root string")
+    got = {r["symbol_id"]: (r["depth"], r["code"]) for r in context.contexts(roots, sym, refs, files).collect()}
+    assert got == {"M:A": (0, "two\nthree"), "M:B": (1, None)}
+    assert context.symbols_by_file(sym, files).first()["outline"] == "M:A"
+    assert context.code_of(sym, files).first()["code"] == "    2 | two\n    3 | three"
+    unsaved = spark.createDataFrame([("a.cs", "new"), ("b.cs", "x")], "path string, content string")
+    assert [r["content"] for r in context.with_virtual_files(files, unsaved).collect()] == ["new"]
+    changes = spark.createDataFrame([("r", 2, "Renamed", "a", "b"), ("r", 2, "Added", None, "c")], "repo_id string, ord int, change_kind string, from_id string, to_id string")
+    assert context.render_changes(changes).first()["body"] == "- Added: c\n- Renamed: a -> b"
+
+
+def test_callers_follow_interfaces(spark):
+    from symlake.operators import context
+
+    sym = relations.symbols(h.symbols(spark, [{"symbol_id": s, "kind": k} for s, k in [("T:N.A", "class"), ("T:N.IA", "interface"), ("M:N.A.Do", "method"), ("M:N.IA.Do", "method"), ("M:N.X.Own", "method"), ("M:N.X.Far", "method")]]))
+    rel = relations.type_relations(h.type_relations(spark, [{"type_symbol_id": "T:N.A", "related_symbol_id": "T:N.IA", "relation_kind": "Interface"}]))
+    refs = relations.refs(h.refs(spark, [{"from_symbol_id": "M:N.X.Own", "to_symbol_id": "M:N.A.Do"}, {"from_symbol_id": "M:N.X.Far", "to_symbol_id": "M:N.IA.Do"}]))
+    roots = spark.createDataFrame([("r", "c1", "M:N.A.Do")], "repo_id string, commit_sha string, root string")
+    plain = {r["symbol_id"] for r in graph.traverse(roots, refs, 1)[0].collect()}
+    aliases = context.interface_aliases(roots, sym, rel)
+    more = {r["symbol_id"] for r in graph.traverse(roots, refs, 1, aliases=aliases)[0].collect()}
+    assert plain == {"M:N.A.Do", "M:N.X.Own"} and more == plain | {"M:N.X.Far"}
+    assert h.rows(context.interface_callers(sym, refs, rel)) == [("r", "c1", "M:N.A.Do", 1, 1)]
+
+
+def test_routes_combine(spark):
+    cases = [("api/[controller]", "{id}", "OrdersController", "/api/orders/{id}"), ("api", "/root", "XController", "/root"), (None, "~/x", "XController", "/x"), ("api/", None, "X", "/api")]
+    df = spark.createDataFrame(cases, "prefix string, action string, controller string, want string")
+    assert df.where(extract.combined_route(F.col("prefix"), F.col("action"), F.col("controller")) != F.col("want")).isEmpty()
+
+
+def test_razor_and_vb_facts(spark):
+    text_ = '@inject IStore Store\n[Parameter] public string Title { get; set; }\n<HttpGet("x")>\nThrow New BadThing("a")\nPublic Property Items As DbSet(Of Item)\ns.AddScoped(Of IA, A)()'
+    got = {(r["fact_kind"], r["value"]) for r in extract.extract_facts(relations.files(h.files(spark, [{"file_id": "f", "path": "a.vb", "content": text_}]))).collect()}
+    assert got == {("RazorInject", "Store: IStore"), ("RazorParameter", "Title: string"), ("Route", "GET /x"), ("Exception", "BadThing|throw new"), ("DbTable", "Items|DbSet<Item>"), ("DiRegistration", "IA → A|Scoped")}

@@ -97,3 +97,30 @@ def test_nothing_imports_the_text_subpackage():
 
 def test_entry_has_a_stable_schema(spark):
     assert __spark_entry__.entry(spark).columns == ["side", "symbol_id", "kind", "n_rows", "n_peers", "first_seen", "last_seen"]
+
+
+def test_workspaces_and_checkouts(spark, tmp_path):
+    from symlake.sources import workspaces as w
+
+    store = w.Workspaces(str(tmp_path))
+    assert store.create("r", "mine", A) == store.create("r", "mine", A)
+    with pytest.raises(schemas.InvalidArgument):
+        store.create("r", "mine", B)
+    assert store.advance("r", "mine").revision == 1 and store.reset("r", "mine").revision == 0
+    base = h.baselines(spark, [A, B])
+    assert [(r["workspace_id"], r["is_stale"]) for r in store.list(spark, base).collect()] == [("mine", True)]
+    assert store.delete("r", "mine") and not store.delete("r", "mine")
+    assert w.repo_id_of("git@host.example:team/app.git") == w.repo_id_of("https://host.example/team/App/")
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.csproj").write_text("")
+    assert w.find_solution(str(tmp_path)).name == "a.csproj"
+    (tmp_path / "x.sln").write_text("")
+    assert w.find_solution(str(tmp_path), "x.slnx").name == "x.sln" and w.find_solution(str(tmp_path / "none")) is None
+    git = tmp_path / ".git"
+    (git / "refs/heads").mkdir(parents=True)
+    (git / "HEAD").write_text("ref: refs/heads/main\n")
+    (git / "refs/heads/main").write_text(A)
+    assert w.checkout_state(str(tmp_path)) == {"branch": "main", "head": A}
+    assert w.closest("serch", ["search", "refs"]) == "search" and w.closest("zzz", ["search"]) is None
+    df = spark.createDataFrame([("a", "net8.0"), ("a", "netstandard2.0"), ("a", "net10.0"), ("b", "net48")], "path string, target string")
+    assert h.rows(w.best_targets(df)) == [("a", "net10.0", 3), ("b", "net48", 1)]
