@@ -90,13 +90,11 @@ def traverse(
         order = Window.partitionBy(*query).orderBy("first")
         ranked = fresh.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit + 1)
         more = ranked.withColumn("over", F.max("n").over(Window.partitionBy(*query)) > limit)
-        levels.append(
-            cut(
-                more.where(F.col("n") <= limit).select(
-                    *query, F.col("other").alias("symbol_id"), F.col("n").alias("place"), F.lit(d).alias("depth"), "over"
-                )
-            )
+        level = more.where(F.col("n") <= limit).select(
+            *query, F.col("other").alias("symbol_id"), F.col("n").alias("place"), F.lit(d).alias("depth"), "over"
         )
+        #: the last level is read once only
+        levels.append(cut(level) if d < depth else level)
     reached = reduce(DataFrame.unionByName, levels)
     cutoff = reached.groupBy(*query).agg(F.max("over").alias("truncated"))
     nodes = reached.select(*query, "symbol_id", "depth").join(cutoff, query)

@@ -89,7 +89,11 @@ def search(
         rows = rows.where(F.col("kind").isin([k.lower() for k in kinds]))
     if namespace:
         rows = rows.where(F.lower("namespace").startswith(namespace.lower()))
-    rows = with_tokens(rows)
+    #: every token is a piece of these columns, so rows without the pieces are out early, in
+    #: generated code, before names are taken apart
+    shown = F.lower(F.concat_ws(" ", "symbol_id", "namespace", "signature", "documentation"))
+    may = [reduce(lambda a, b: a & b, [shown.contains(t) for t in tokens]) for _, _, tokens in asked]
+    rows = with_tokens(rows.where(reduce(lambda a, b: a | b, may)))
     single = sorted({t for _, _, tokens in asked for t in tokens if len(t) == 1})
     if single:
         own = with_tokens(symbols).select(*KEY, F.explode("tokens").alias("token"))

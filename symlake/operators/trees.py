@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symlake.functions.text import definition_id, fold, strip_global, type_id_of
-from symlake.session import cut
+from symlake.session import cut, cut_with
 
 #: Nodes of the largest component that one task walks.
 LIMIT = 200_000
@@ -40,11 +40,10 @@ def components(edges: DataFrame) -> DataFrame:
     chain.
     """
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    digest = lambda d: tuple(
-        d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
+    digest = {"n": F.count("*"), "x": F.bit_xor(F.xxhash64("u", "v")), "y": F.sum(F.hash("u", "v").cast("long"))}
+    pairs, before = cut_with(
+        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), **digest
     )
-    before = digest(pairs)
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -62,8 +61,7 @@ def components(edges: DataFrame) -> DataFrame:
             .union(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        pairs = cut(small)
-        after = digest(pairs)
+        pairs, after = cut_with(small, **digest)
         if after == before:
             break
         before = after

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan, over all cores if it comes in fewer partitions than there are cores.
+
+    For work that costs more per byte than a shuffle. A large input has more partitions than
+    cores and is left as it is; what is moved is at most a scan partition per core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def held(condition: Column) -> Column:
+    """``condition``, kept by the optimizer where it stands: a costly filter after :func:`spread`
+    would otherwise move below the exchange, back to the few partitions of the scan."""
+    return F.when(F.rand() >= 0, condition)
+
+
+def cut_with(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """:func:`cut` and aggregates of the rows, taken while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, *(c.alias(n) for n, c in measures.items())))
+    return out, seen.get
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return it as a scan of that table.
 
