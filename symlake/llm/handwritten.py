@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symlake.session import held
+
 #: Paths that tools write to, with forward slashes and in any case.
 GENERATED_PATH = (
     r"(?i)\.(?:g|g\.i|generated|designer|pb|grpc)\.(?:cs|vb|fs)$|(?:^|/)(?:obj|generated)/"
@@ -114,4 +116,4 @@ def verdicts(files: DataFrame) -> DataFrame:
 
 def not_handwritten(files: DataFrame) -> DataFrame:
     """``file_id`` of the files with a verdict in any of their rows, each once."""
-    return verdicts(files).where("verdict is not null and file_id is not null").select("file_id").distinct()
+    return verdicts(files.where("file_id is not null")).where(held(F.col("verdict").isNotNull())).select("file_id").distinct()

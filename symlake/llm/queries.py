@@ -6,49 +6,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symlake.llm import bpe, handwritten, mixing, pairs, spam
-from symlake.session import table
+from symlake.session import spread, table
+
+
+def _read(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table, over all cores: the operators here cost more than moving a small one."""
+    return spread(table(spark, d, name).select(*columns))
+
+
+SYMBOL = ["symbol_id", "kind", "signature", "documentation", "containing_type"]
+FILE = ["file_id", "path", "is_virtual", "project_name", "content"]
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.documented_symbols(table(spark, d, "symbols"))
+    return pairs.documented_symbols(_read(spark, d, "symbols", *SYMBOL))
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.symbol_pairs(table(spark, d, "symbols"))
+    return pairs.symbol_pairs(_read(spark, d, "symbols", *SYMBOL))
 
 
 def p2_source_pairs(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "files").select(F.col("file_id").alias("source_id"), "path", "content")
+    files = _read(spark, d, "files", "file_id", "path", "content").withColumnRenamed("file_id", "source_id")
     return pairs.pairs_from_sources(files)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return handwritten.not_handwritten(table(spark, d, "files"))
+    return handwritten.not_handwritten(_read(spark, d, "files", *FILE))
 
 
 def p7_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    rows = handwritten.verdicts(table(spark, d, "files")).where("verdict is not null")
+    rows = handwritten.verdicts(_read(spark, d, "files", *FILE)).where("verdict is not null")
     return rows.groupBy("verdict").agg(F.count_distinct("file_id").alias("n_files"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.token_ids(table(spark, d, "documents").select("doc_id", "text"))
+    return bpe.token_ids(_read(spark, d, "documents", "doc_id", "text"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixing.mixture(_read(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixing.mixture(_read(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return spam.spam_pages(table(spark, d, "documents")).select("doc_id").distinct()
+    return spam.spam_pages(_read(spark, d, "documents", "doc_id", "text")).select("doc_id").distinct()
 
 
 def p10_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return spam.spam_pages(table(spark, d, "documents")).groupBy("kind").agg(F.count("*").alias("n_docs"))
+    return spam.spam_pages(_read(spark, d, "documents", "doc_id", "text")).groupBy("kind").agg(F.count("*").alias("n_docs"))
 
 
 QUERIES = {
