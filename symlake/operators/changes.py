@@ -163,7 +163,7 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, cells: int = CELLS)
     rows, snapshots that have no rows of this table count as empty. Rows with a null key or
     of no known snapshot are left out; repeated rows count once, of conflicting ones the
     least payload. Keys of more than ``8 * MAX_WORDS`` bytes are told apart and reported by
-    their first character and SHA-256 in hexadecimal digits.
+    their SHA-256 in hexadecimal digits.
     """
     rows = rows.select("repo_id", "commit_sha", "key", "payload")
     #: snapshot counts per repository: one row each, joined by whatever way its size allows
@@ -181,7 +181,7 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, cells: int = CELLS)
     n_words = min(MAX_WORDS, max(1, -(-longest // 8)))
     key = F.col("key")
     if longest > 8 * MAX_WORDS:
-        key = F.when(F.octet_length(key) <= 8 * MAX_WORDS, key).otherwise(F.concat(F.substring(key, 1, 1), F.sha2(key, 256)))
+        key = F.when(F.octet_length(key) <= 8 * MAX_WORDS, key).otherwise(F.sha2(key, 256))
     placed = (
         rows.where(F.col("key").isNotNull())
         .withColumn("key", key)
@@ -232,22 +232,21 @@ def _retry(todo: DataFrame, pairs: DataFrame, n_cells: int, n_words: int) -> lis
 def symbol_and_file_changes(symbols: DataFrame, files: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Changes of symbols and files: ``repo_id, commit_sha, entity, record_key, change_kind``.
 
-    Both tables go through one pass: the key's first character tells them apart.
+    One pass per table: together they would share buckets, of which more would then fail.
     """
-    rows = symbols.select(
-        "repo_id",
-        "commit_sha",
-        F.concat(F.lit("s"), "stable_id").alias("key"),
-        squeeze(F.col("signature")).alias("payload"),
-    ).unionByName(
-        files.select(
-            "repo_id", "commit_sha", F.concat(F.lit("f"), "file_id").alias("key"), fold(F.col("sha256")).alias("payload")
-        )
+    of_symbols = snapshot_changes(
+        symbols.select(
+            "repo_id", "commit_sha", F.col("stable_id").alias("key"), squeeze(F.col("signature")).alias("payload")
+        ),
+        snapshots,
     )
-    return snapshot_changes(rows, snapshots).select(
-        "repo_id",
-        "commit_sha",
-        F.when(F.col("record_key").startswith("s"), "symbol").otherwise("file").alias("entity"),
-        F.substring("record_key", 2, 1_000_000).alias("record_key"),
-        "change_kind",
+    of_files = snapshot_changes(
+        files.select("repo_id", "commit_sha", F.col("file_id").alias("key"), fold(F.col("sha256")).alias("payload")),
+        snapshots,
+    )
+    cols = ["repo_id", "commit_sha", "entity", "record_key", "change_kind"]
+    return (
+        of_symbols.withColumn("entity", F.lit("symbol"))
+        .select(cols)
+        .unionByName(of_files.withColumn("entity", F.lit("file")).select(cols))
     )
