@@ -55,10 +55,10 @@ def find(
 
 
 def with_excerpt(found: DataFrame, files: DataFrame) -> DataFrame:
-    """References of :func:`find` in files with stored content, with their source line."""
+    """References of :func:`find` with their source line, null where the file has no stored content."""
     texts = files.where(F.col("content").isNotNull()).select(*KEY, "path", "content")
     return (
-        found.join(texts, [*KEY, "path"])
+        found.join(texts, [*KEY, "path"], "left")
         .withColumn("excerpt", excerpt(F.col("content"), F.col("loc_start")))
         .drop("content")
     )
