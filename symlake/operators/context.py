@@ -12,6 +12,8 @@ from symlake.sources.relations import KEY
 CODE_LINES, CALLEE_LINES, MAX_CALLEES = 200, 50, 25
 #: Callers counted per interface member at most.
 CALLER_PROBE = 50
+#: Lines of one part of a rendered difference, and its sections in order: kinds of facts, symbols as "".
+PART_LINES, SECTIONS = 1000, ["Route", "", "Config", "DbTable", "DiRegistration"]
 
 
 def contexts(
@@ -86,22 +88,33 @@ def search_answers(hits: DataFrame) -> DataFrame:
     return per.select("query", *KEY, text_.alias("answer"))
 
 
-def render_changes(changes: DataFrame, limit: int = 50) -> DataFrame:
-    """Changes of symbols rendered as text per pair of snapshots: ``repo_id, ord, n_changes, body``,
-    the first ``limit`` lines by kind of change and id."""
-    line = F.concat(
+def render_changes(changes: DataFrame, fact_changes: DataFrame | None = None) -> DataFrame:
+    """Changes of symbols and facts rendered as text per pair of snapshots: ``repo_id, ord, part,
+    n_changes, body``, all lines.
+
+    Endpoints come first, then symbols by kind of change and id, then configuration, tables and
+    registrations. A body holds ``PART_LINES`` lines; what is longer goes on in the next part.
+    """
+    symbol = F.concat(
         F.lit("- "),
         F.col("change_kind"),
         F.lit(": "),
         F.coalesce(F.concat("from_id", F.when(F.col("to_id") != F.col("from_id"), F.concat(F.lit(" -> "), F.col("to_id"))).otherwise("")), "to_id"),
     )
-    per = Window.partitionBy("repo_id", "ord")
-    shown = changes.select("repo_id", "ord", line.alias("line"))
-    ranked = shown.withColumn("rank", F.row_number().over(per.orderBy("line"))).where(F.col("rank") <= limit)
+    shown = changes.select("repo_id", "ord", F.lit(SECTIONS.index("")).alias("section"), symbol.alias("line"))
+    if fact_changes is not None:
+        value = F.coalesce("to_value", "from_value")
+        bare = F.when(F.col("fact_kind").isin("Config", "DbTable"), F.substring_index(value, "|", 1)).otherwise(value)
+        fact = F.concat(F.lit("- "), F.col("change_kind"), F.lit(" "), F.col("fact_kind"), F.lit(": "), bare)
+        section = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("fact_kind")).cast("int") - 1
+        told = fact_changes.where(F.col("fact_kind").isin([s for s in SECTIONS if s]))
+        shown = shown.unionByName(told.select("repo_id", "ord", section.alias("section"), fact.alias("line")))
+    ranked = shown.withColumn("rank", F.row_number().over(Window.partitionBy("repo_id", "ord").orderBy("section", "line")))
     total = shown.groupBy("repo_id", "ord").agg(F.count("*").alias("n_changes"))
-    body = ranked.groupBy("repo_id", "ord").agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("all"))
+    part = (F.floor((F.col("rank") - 1) / PART_LINES) + 1).cast("int").alias("part")
+    body = ranked.groupBy("repo_id", "ord", part).agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("all"))
     return body.join(total, ["repo_id", "ord"]).select(
-        "repo_id", "ord", "n_changes", F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("body")
+        "repo_id", "ord", "part", "n_changes", F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("body")
     )
 
 

@@ -303,7 +303,8 @@ def search_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diff_rendered(spark: SparkSession, d: str) -> DataFrame:
-    return context.render_changes(diff.symbol_diff(rel(spark, d, "symbols"), _snapshots(spark, d)))
+    snaps = _snapshots(spark, d)
+    return context.render_changes(diff.symbol_diff(rel(spark, d, "symbols"), snaps), diff.fact_diff(rel(spark, d, "facts"), snaps))
 
 
 def search_savings(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symlake.operators import references
+from symlake.operators import context, references
 from symlake.sources import relations
 from tests import helpers as h
 
@@ -12,3 +12,15 @@ def test_references_without_content_keep_a_null_excerpt(spark):
     files = relations.files(h.files(spark, [{"file_id": "f1", "path": "a.cs", "content": "one"}, {"file_id": "f2", "path": "b.cs"}]))
     got = references.with_excerpt(references.find(refs, files), files)
     assert {r["path"]: r["excerpt"] for r in got.collect()} == {"a.cs": "one", "b.cs": None}
+
+
+def test_all_changes_are_rendered(spark):
+    n = context.PART_LINES + 60
+    changes = spark.createDataFrame([("r", 2, "Added", None, f"s{i:05}") for i in range(n)], "repo_id string, ord int, change_kind string, from_id string, to_id string")
+    facts = spark.createDataFrame(
+        [("r", 2, "Route", "Added", None, "GET /x"), ("r", 2, "Config", "Changed", "A:B|get", "A:B|bind"), ("r", 3, "DiRegistration", "Removed", "IA → A|Scoped", None)],
+        "repo_id string, ord int, fact_kind string, change_kind string, from_value string, to_value string",
+    )
+    got = {(r["ord"], r["part"]): (r["n_changes"], r["body"].split("\n")) for r in context.render_changes(changes, facts).collect()}
+    assert got[3, 1] == (1, ["- Removed DiRegistration: IA → A|Scoped"]) and got[2, 2][0] == n + 2
+    assert got[2, 1][1] + got[2, 2][1] == ["- Added Route: GET /x", *(f"- Added: s{i:05}" for i in range(n)), "- Changed Config: A:B"]
