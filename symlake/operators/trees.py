@@ -306,13 +306,34 @@ def type_roots(type_relations: DataFrame, symbols: DataFrame, limit: int = LIMIT
 
 
 def descendants(full: DataFrame) -> DataFrame:
-    """All descendants of every node from the paths: ``group, ancestor, descendant, distance``.
+    """All descendants of every node: ``group, ancestor, descendant, distance``.
 
-    Covers the tree parts; members of one cycle are told by ``on_cycle`` and a common root.
+    A node has as many rows as ``n_descendants`` says. They are read off the paths; a member of
+    a cycle also gets its fellow members and what hangs below them, which its own path does not
+    lead to. Members of a cycle are one step from each other, as in :func:`hierarchies`.
     """
-    return full.select(
+    full = cut(full.select("group", "node", "root", "depth", "path", "on_cycle"))
+    on_path = full.select(
         "group",
         F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("pos", "ancestor"),
         F.col("node").alias("descendant"),
         "depth",
     ).select("group", "ancestor", "descendant", (F.col("depth") - F.col("pos")).alias("distance"))
+    #: the least id of a cycle is on all paths of it already
+    members = cut(full.where("on_cycle and node <> root").select("group", "root", F.col("node").alias("ancestor")))
+    if members.isEmpty():
+        return on_path
+    hung = full.join(members.select("group", "root").distinct(), ["group", "root"], "left_semi").select(
+        "group", "root", F.col("node").alias("descendant"), "depth", F.try_element_at("path", F.lit(2)).alias("ancestor")
+    )
+    #: the member that a node is or hangs on; null for the least id and what hangs on that
+    known = members.select("group", "ancestor", F.lit(True).alias("by_member"))
+    hung = hung.join(known, ["group", "ancestor"], "left").select(
+        "group", "root", "descendant", "depth", F.when(F.col("by_member"), F.col("ancestor")).alias("member")
+    )
+    beside = (
+        members.join(hung, ["group", "root"])
+        .where(~F.col("member").eqNullSafe(F.col("ancestor")))
+        .select("group", "ancestor", "descendant", F.when(F.col("member").isNull(), F.col("depth") + 1).otherwise(F.col("depth")).alias("distance"))
+    )
+    return on_path.unionByName(beside)
