@@ -137,7 +137,33 @@ MODIFIERS = (
 BRACED = re.compile(
     rf"^\s*{MODIFIERS}(?:(?P<js>function)\s+|(?P<type>[A-Za-z_][\w.<>\[\],?\s]*?)\s+)?"
     r"(?P<name>(?:operator\s*\S{1,3}|[A-Za-z_]\w*))\s*(?:<[\w,\s]+>)?\s*\((?P<params>[^;{}]*)\)\s*"
-    r"(?:where\b[^{;]*|:\s*(?:base|this)\s*\([^{]*\))?\s*(?P<open>\{|=>|;)?\s*"
+    r"(?:where\b[^{;]*|throws\b[^{;]*|:\s*(?:base|this)\s*\([^{]*\))?\s*(?P<open>\{|=>|;)?\s*"
+)
+#: The same with a type after the parameters.
+SCRIPT = re.compile(BRACED.pattern.replace(r"(?:where\b", r"(?::[^{;=]*|where\b"))
+ARROW = re.compile(
+    r"^\s*(?:export\s+)?(?:(?:const|let|var|public|private|protected|static|readonly)\s+)*(?P<name>[A-Za-z_$][\w$]*)\s*"
+    r"(?::[^=]*)?=\s*(?:async\s+)?(?:<[\w,\s]+>\s*)?(?:\((?P<params>.*?)\)\s*(?::[^={]*)?|[A-Za-z_$][\w$]*\s*)=>\s*(?P<open>\{)?"
+)
+#: How far a signature's first line goes at least, for those that close their parenthesis later.
+WRAPPED = {
+    "braced": re.compile(rf"^\s*{MODIFIERS}(?:[A-Za-z_][\w.<>\[\],?\s]*?\s+)?[A-Za-z_]\w*\s*(?:<[\w,\s]+>)?\s*\("),
+    "arrow": re.compile(r"^[^(]*=\s*(?:async\s+)?\("),
+    "indented": re.compile(r"^\s*(?:async\s+)?def\s+\w+\s*\("),
+    "keyword": re.compile(r"^[\w\s]*\b(?:Function|Sub|Operator)\s+\S+\s*\(", re.I),
+    "ruby": re.compile(r"^\s*def\s+\S+\s*\(|^\s*def\s+\S+\("),
+    "sql": re.compile(r"^\s*(?:CREATE|ALTER)\b", re.I),
+}
+#: What is no code in a line, for counting parentheses.
+BARE = {
+    "braced": r"//.*$", "script": r"//.*$", "indented": r"#.*$", "keyword": r"'.*$", "ruby": r"#.*$", "sql": r"--.*$",
+}
+RUBY = re.compile(r"^\s*def\s+(?:self\.|\w+\.)?(?P<name>\w+[?!=]?|[^\w\s(]{1,3})(?P<rest>.*)$")
+RUBY_OPENS = re.compile(r"^\s*(?:if|unless|while|until|case|for|begin|class|module|def)\b|\bdo\s*(?:\|[^|]*\|)?\s*$|=\s*(?:if|unless|case|begin)\b")
+SQL_FUNCTION = re.compile(
+    r"^\s*(?:CREATE(?:\s+OR\s+(?:REPLACE|ALTER))?|ALTER)\s+(?:FUNCTION|PROCEDURE)\s+(?:IF\s+NOT\s+EXISTS\s+)?"
+    r"(?:[\w\"\[\]`]+\.)*[\"\[`]?(?P<name>\w+)",
+    re.I,
 )
 INDENTED = re.compile(
     r"^(?P<indent>\s*)(?:async\s+)?(?:def\s+(?P<name>\w+)\s*\((?P<params>.*)|"
@@ -151,13 +177,16 @@ KEYWORD = re.compile(
 #: Words before a parenthesis that open statements, not functions.
 STATEMENTS = frozenset(
     "if for foreach while switch catch using lock return new throw await fixed when nameof typeof sizeof else do "
-    "assert yield in is as base this".split()
+    "assert yield in is as base this case".split()
 )
-COMMENT = {"braced": ("//", "*", "/*"), "indented": ("#", "//", "(*"), "keyword": ("'", "REM ")}
+COMMENT = {
+    "braced": ("//", "*", "/*"), "script": ("//", "*", "/*"), "indented": ("#", "//", "(*"), "keyword": ("'", "REM "),
+    "ruby": ("#",), "sql": ("--", "*", "/*"),
+}
 ATTRIBUTE = re.compile(r"^\s*(?:\[.*\]|@\w.*|<\w.*>)\s*$")
 STYLES = {
-    "cs": "braced", "java": "braced", "js": "braced", "ts": "braced", "c": "braced", "cpp": "braced", "go": "braced",
-    "py": "indented", "fs": "indented", "vb": "keyword", "rb": "keyword", "sql": "keyword",
+    "cs": "braced", "java": "braced", "js": "script", "ts": "script", "mjs": "script", "jsx": "script", "tsx": "script", "c": "braced", "cpp": "braced", "go": "braced",
+    "py": "indented", "fs": "indented", "vb": "keyword", "rb": "ruby", "sql": "sql",
 }
 
 
@@ -172,8 +201,8 @@ def _comment_above(lines: list[str], at: int, style: str) -> str:
                 break
         elif not taken and ATTRIBUTE.match(lines[up]):
             pass
-        elif line.startswith(COMMENT[style]) or (style == "braced" and line.endswith("*/")):
-            taken.append(re.sub(r"^(?:///?|/\*\*?|\*/|\*|#+|'{1,3}|\(\*)\s?|\s*\*/$", "", line))
+        elif line.startswith(COMMENT[style]) or (style in ("braced", "script", "sql") and line.endswith("*/")):
+            taken.append(re.sub(r"^(?:///?|/\*\*?|\*/|\*|#+|--+|'{1,3}|\(\*)\s?|\s*\*/$", "", line))
         else:
             break
         up -= 1
@@ -181,35 +210,160 @@ def _comment_above(lines: list[str], at: int, style: str) -> str:
 
 
 def _docstring(lines: list[str], at: int) -> str:
-    """The string literal that opens an indented body."""
-    rest = "\n".join(lines[at : at + 200])
-    m = re.match(r"\s*[rRuU]?(\"{3}|'{3})(.*?)\1", rest, re.S)
-    return m.group(2).strip() if m else ""
+    """The string literal that opens an indented body, to its end."""
+    while at < len(lines) and not lines[at].strip():
+        at += 1
+    m = re.match(r"\s*[rRuU]?(\"{3}|'{3})", lines[at]) if at < len(lines) else None
+    if not m:
+        return ""
+    taken, rest = [], lines[at][m.end() :]
+    while m[1] not in rest:
+        taken.append(rest)
+        at += 1
+        if at == len(lines):
+            return ""
+        rest = lines[at]
+    return "\n".join([*taken, rest.partition(m[1])[0]]).strip()
+
+
+def _code(line: str, style: str) -> str:
+    """A line without comments and what its strings hold."""
+    strings = r'"(?:""|[^"])*"' if style == "keyword" else r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\''
+    return re.sub(BARE[style], "", re.sub(strings, '""', line))
+
+
+def _joined(lines: list[str], at: int, style: str, head: str) -> tuple[str, int]:
+    """The signature that begins in line ``at`` with the lines up to the one that closes its
+    parenthesis, and that line; the line alone if it begins none or none closes."""
+    line = lines[at]
+    if "(" not in line or not WRAPPED[head].match(line):
+        return line, at
+    code = _code(line, style)
+    opens = code.count("(") - code.count(")")
+    if opens <= 0:
+        return line, at
+    taken = [line]
+    for i in range(at + 1, len(lines)):
+        code = _code(lines[i], style)
+        if style == "braced" and re.match(r"[^)]*[;{}]", code) or style == "indented" and WRAPPED[head].match(code):
+            break
+        opens += code.count("(") - code.count(")")
+        taken.append(lines[i].strip())
+        if opens <= 0:
+            if style in ("indented", "keyword"):
+                taken = [re.sub(r"\s_$", "", x.rstrip()) for x in taken]
+            return " ".join(x for x in (*taken[:1], *(re.sub(r"\s*//.*$", "", x) if style in ("braced", "script") else x for x in taken[1:])) if x), i
+    return line, at
+
+
+def _ruby_functions(lines: list[str]) -> Iterator[tuple[int, int, str, str, str]]:
+    """Ruby methods, each to the ``end`` of its ``def``."""
+    stack: list[tuple[int, str, str, str] | None] = []
+    past = -1
+    for i, line in enumerate(lines):
+        if i <= past:
+            continue
+        code = _code(line, "ruby").rstrip()
+        whole, past = _joined(lines, i, "ruby", "ruby")
+        m = RUBY.match(whole)
+        if m:
+            found = (i, m["name"], re.sub(r"\s+", " ", whole).strip(), _comment_above(lines, i, "ruby"))
+            if re.match(r"\s*(?:\(.*\))?\s*=\s", m["rest"]) or re.search(r";\s*end\s*$", code):
+                yield i + 1, past + 1, *found[1:]
+            else:
+                stack.append(found)
+        elif re.match(r"\s*end\b", code):
+            if stack and (found := stack.pop()):
+                yield found[0] + 1, i + 1, *found[1:]
+        elif RUBY_OPENS.search(code) and not re.search(r"\bend\s*$", code):
+            stack.append(None)
+    for found in reversed(stack):
+        if found:
+            yield found[0] + 1, len(lines), *found[1:]
+
+
+def _sql_functions(lines: list[str]) -> Iterator[tuple[int, int, str, str, str]]:
+    """SQL functions and procedures, to the end of their quoted body, of their block or of the
+    statement."""
+    past = -1
+    for i in range(len(lines)):
+        if i <= past:
+            continue
+        m = SQL_FUNCTION.match(lines[i])
+        if not m:
+            continue
+        first = i
+        if "(" not in lines[i] and i + 1 < len(lines) and lines[i + 1].lstrip().startswith("("):
+            lines = [*lines[:i], "", f"{lines[i].rstrip()} {lines[i + 1].lstrip()}", *lines[i + 2 :]]
+            i += 1
+        signature, past = _joined(lines, i, "sql", "sql")
+        depth, quote, begun = 0, "", False
+        for k in range(past, len(lines)):
+            code = _code(lines[k], "sql")
+            if k > past and not quote and depth <= 0 and SQL_FUNCTION.match(code):
+                past = k - 1
+                break
+            for word in re.findall(r"\$\w*\$|\b(?:BEGIN|CASE|END(?:\s+(?:IF|LOOP|WHILE|REPEAT|FOR))?)\b|;", code, re.I):
+                low = word.lower()
+                if low.startswith("$"):
+                    quote = "" if quote == low else quote or low
+                elif quote:
+                    continue
+                elif low in ("begin", "case"):
+                    depth, begun = depth + 1, True
+                elif low == "end":
+                    depth -= 1
+            if not quote and depth <= 0 and code.rstrip().endswith(";") or (begun and depth <= 0 and re.match(r"\s*(?:GO|/)\s*$", code, re.I)):
+                past = k
+                break
+        else:
+            past = len(lines) - 1
+        yield first + 1, past + 1, m["name"], re.sub(r"\s+", " ", signature).strip(), _comment_above(lines, first, "sql")
 
 
 def source_functions(text: str | None, style: str) -> Iterator[tuple[int, int, str, str, str]]:
     """``(first line, last line, name, signature, documentation)`` of each function of a file.
 
     ``style`` says how bodies end: ``braced`` by the brace that closes theirs, ``indented`` by a
-    line that is not deeper than the signature, ``keyword`` by the matching End. Lines count
-    from 1. A null or empty text has none; an unclosed body ends with the file.
+    line that is not deeper than the signature, ``keyword`` by the matching End; ``script`` is
+    braced with arrow functions, ``ruby`` and ``sql`` have rules of their own. A signature goes on
+    to the line that closes its parenthesis. Lines count from 1. A null or empty text has none; an unclosed body ends with the file.
     """
     lines = re.split(r"\r\n|\r|\n", text) if text else []
+    if style in ("ruby", "sql"):
+        yield from (_ruby_functions if style == "ruby" else _sql_functions)(lines)
+        return
     stack: list[tuple[int, str, str, str, int]] = []
     depth = 0
+    past = -1
     for i, line in enumerate(lines):
         bare = line.strip()
-        if style == "braced":
+        if style in ("braced", "script"):
             code = re.sub(r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'', '""', line)
             code = re.sub(r"//.*$", "", code)
-            m = None if bare.startswith(("//", "*", "/*", "[", "#")) else BRACED.match(code)
+            m, arrow, last, whole = None, None, i, line
+            if i > past and not bare.startswith(("//", "*", "/*", "[", "#")):
+                whole, last = _joined(lines, i, "braced", "braced")
+                m = (SCRIPT if style == "script" else BRACED).match(code if last == i else re.sub(r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'', '""', whole))
+                if style == "script" and not m and "=" in code:
+                    whole, last = _joined(lines, i, "script", "arrow")
+                    arrow = ARROW.match(whole)
+                past = last if m or arrow else past
+            if arrow:
+                signature = re.sub(r"\s+", " ", whole.split("=>")[0]).strip()
+                rest = whole[arrow.end() :].strip()
+                follows = arrow["open"] or rest or next((x.strip()[0] for x in lines[last + 1 : last + 3] if x.strip()), "")
+                if follows == "{":
+                    stack.append((i, arrow["name"], signature, _comment_above(lines, i, style), depth))
+                else:
+                    yield i + 1, last + 1, arrow["name"], signature, _comment_above(lines, i, style)
             opened = m and m["name"] not in STATEMENTS and (m["js"] or m["type"] or m["open"] == "{" or m["open"] is None)
-            if opened and (m["type"] or "").split(" ")[0] not in STATEMENTS and not re.search(r"[=.]\s*$", m["type"] or ""):
-                signature = re.sub(r"\s+", " ", line.split("{")[0].split("=>")[0]).strip(" ;")
-                follows = m["open"] or next((x.strip()[0] for x in lines[i + 1 : i + 3] if x.strip()), "")
+            if opened and (m["type"] or "").split(" ")[0] not in STATEMENTS and not re.search(r"[=.]\s*$|\s\?\s*$", m["type"] or ""):
+                signature = re.sub(r"\s+", " ", whole.split("{")[0].split("=>")[0]).strip(" ;")
+                follows = m["open"] or next((x.strip()[0] for x in lines[last + 1 : last + 3] if x.strip()), "")
                 if follows in ("=>", ";"):
                     if m["type"]:
-                        yield i + 1, i + 1, m["name"], signature, _comment_above(lines, i, style)
+                        yield i + 1, last + 1, m["name"], signature, _comment_above(lines, i, style)
                 elif follows == "{":
                     stack.append((i, m["name"], signature, _comment_above(lines, i, style), depth))
             for ch in code:
@@ -222,18 +376,21 @@ def source_functions(text: str | None, style: str) -> Iterator[tuple[int, int, s
                         yield at + 1, i + 1, name, signature, doc
         elif style == "indented":
             indent = len(line) - len(line.lstrip())
-            if bare and not bare.startswith(("#", "//")):
+            if i > past and bare and not bare.startswith(("#", "//")):
                 while stack and indent <= stack[-1][4]:
                     at, name, signature, doc, _ = stack.pop()
                     yield at + 1, i, name, signature, doc
-            m = INDENTED.match(line)
+            m = INDENTED.match(line) if i > past else None
             if m:
-                doc = _comment_above(lines, i, style) or _docstring(lines, i + 1)
-                stack.append((i, m["name"] or m["fname"], bare.rstrip(":= "), doc, indent))
+                whole, past = _joined(lines, i, style, style)
+                doc = _comment_above(lines, i, style) or _docstring(lines, past + 1)
+                stack.append((i, m["name"] or m["fname"], whole.strip().rstrip(":= "), doc, indent))
         else:
-            m = KEYWORD.match(line)
+            whole, last = _joined(lines, i, style, style) if i > past else (line, past)
+            m = KEYWORD.match(whole) if i > past else None
             if m:
-                stack.append((i, m["name"], bare, _comment_above(lines, i, style), 0))
+                past = last
+                stack.append((i, m["name"], whole.strip(), _comment_above(lines, i, style), 0))
             elif stack and re.match(r"^\s*End\s+(?:Function|Sub|Operator)\b|^\s*end\b\s*;?\s*$", line, re.I):
                 at, name, signature, doc, _ = stack.pop()
                 yield at + 1, i + 1, name, signature, doc
