@@ -18,6 +18,8 @@ from symlake.session import cut
 
 #: Hash ranges of each source.
 RANGES = 65_536
+#: As a total: all tokens of the listed sources.
+AVAILABLE = "available"
 
 
 def water_fill(shares: dict[str, float], caps: dict[str, float], total: float | None = None) -> dict[str, float]:
@@ -60,7 +62,7 @@ def sizes(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) ->
     return cut(token_counts(mine, "text", vocabulary).where("n_tokens > 0"))
 
 
-def plan(sized: DataFrame, targets: DataFrame, total: float | None = None) -> list[dict]:
+def plan(sized: DataFrame, targets: DataFrame, total: float | str | None = None) -> list[dict]:
     """Allocation per listed source, from sums per source (as many rows as targets)."""
     have = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     goal = {}
@@ -69,6 +71,8 @@ def plan(sized: DataFrame, targets: DataFrame, total: float | None = None) -> li
             raise ValueError(f"source {r['source']} is listed twice")
         goal[r["source"]] = (r["target_share"] or 0.0, r["max_repeats"] or 0)
     caps = {s: have.get(s, 0) * most for s, (_, most) in goal.items()}
+    if total == AVAILABLE:
+        total = float(sum(have.get(s, 0) for s in goal))
     filled = water_fill({s: w for s, (w, _) in goal.items()}, caps, total)
     rows = []
     for s, (share, most) in goal.items():
@@ -84,7 +88,7 @@ def plan(sized: DataFrame, targets: DataFrame, total: float | None = None) -> li
 def mixture(
     docs: DataFrame,
     targets: DataFrame,
-    total: float | None = None,
+    total: float | str | None = None,
     seed: int = 7,
     vocabulary: str = VOCABULARY,
 ) -> tuple[DataFrame, DataFrame]:
@@ -92,8 +96,10 @@ def mixture(
 
     Mix: ``doc_id, source, n_tokens, repeats`` with ``1 <= repeats <= max_repeats``; repeated
     input rows are documents of their own. Shares, one row per target: ``source, target_share,
-    max_repeats, available_tokens, mixed_tokens, actual_share, n_docs``. Which documents are
-    taken once more depends on seed and doc_id only.
+    max_repeats, available_tokens, mixed_tokens, n_docs, actual_share, total_tokens, left_out``:
+    the tokens of the whole mix, and the share of the source's tokens that are not in it even
+    once. ``total`` may be ``AVAILABLE``. Which documents are taken once more depends on seed and
+    doc_id only.
     """
     sized = sizes(docs, targets, vocabulary)
     spark = docs.sparkSession
@@ -131,7 +137,7 @@ def mixture(
         .select("doc_id", "source", "n_tokens", "repeats")
     )
     mixed = mix.groupBy("source").agg(
-        F.sum(F.col("n_tokens") * F.col("repeats")).alias("mixed_tokens"), F.count("*").alias("n_docs")
+        F.sum(F.col("n_tokens") * F.col("repeats")).alias("mixed_tokens"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("used")
     )
     per = goal.join(mixed, "source", "left").select(
         "source",
@@ -140,11 +146,14 @@ def mixture(
         "available_tokens",
         F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"),
         F.coalesce("n_docs", F.lit(0)).alias("n_docs"),
+        F.coalesce("used", F.lit(0)).alias("used"),
     )
     #: a window over as many rows as there are targets
     whole = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))
     shares = per.select(
-        *per.columns,
+        *(c for c in per.columns if c != "used"),
         F.when(whole > 0, F.col("mixed_tokens") / whole).otherwise(0.0).alias("actual_share"),
+        whole.alias("total_tokens"),
+        F.when(F.col("available_tokens") > 0, 1 - F.col("used") / F.col("available_tokens")).otherwise(0.0).alias("left_out"),
     )
     return mix, shares

@@ -52,6 +52,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(_read(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_full_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs = _read(spark, d, "documents", "doc_id", "source", "text")
+    return mixing.mixture(docs, table(spark, d, "mix_targets"), mixing.AVAILABLE)[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(_read(spark, d, "documents", "doc_id", "text")).select("doc_id").distinct()
 
@@ -71,6 +76,7 @@ QUERIES = {
         p8_ids,
         p9_mix,
         p9_shares,
+        p9_full_shares,
         p10_found,
         p10_kinds,
     )

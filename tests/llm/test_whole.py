@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symlake.llm import pairs
+from symlake.llm import mixing, pairs
 
 
 def functions(text, style):
@@ -42,3 +42,14 @@ def test_ruby_and_sql():
         (2, 6, "n_rows", "CREATE OR REPLACE FUNCTION app.n_rows( t text)", "Counts rows"),
         (9, 12, "clear", "CREATE PROCEDURE clear()", "Clears"),
     ]
+
+
+def test_a_total_of_all_tokens_clamps_and_spreads(spark):
+    docs = spark.createDataFrame([(f"{s}{i}", s, "one two three") for s, n in (("a", 1), ("b", 41), ("c", 40)) for i in range(n)], "doc_id string, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.25, 2), ("c", 0.25, 1)], "source string, target_share double, max_repeats int")
+    exact = {r["source"]: r for r in mixing.mixture(docs, targets)[1].collect()}
+    full = {r["source"]: r for r in mixing.mixture(docs, targets, mixing.AVAILABLE)[1].collect()}
+    one = exact["a"]["available_tokens"]
+    assert exact["a"]["total_tokens"] == 4 * one and abs(exact["b"]["left_out"] - 40 / 41) < 1e-9
+    assert {s: r["mixed_tokens"] / one for s, r in full.items()} == {"a": 2, "b": 40, "c": 40}
+    assert full["a"]["left_out"] == 0.0
