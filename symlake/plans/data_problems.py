@@ -45,9 +45,20 @@ def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return trees.type_links(table(spark, d, "type_relations"), table(spark, d, "symbols"))
+
+
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    full = trees.type_hierarchies(table(spark, d, "type_relations"), table(spark, d, "symbols"))
-    return trees.descendants(full).withColumnRenamed("group", "hierarchy")
+    return trees.all_descendants(_links(spark, d)).withColumnRenamed("group", "hierarchy")
+
+
+def p3_cycles(spark: SparkSession, d: str) -> DataFrame:
+    return trees.cycles(_links(spark, d)).withColumnRenamed("group", "hierarchy")
+
+
+def p3_other_parents(spark: SparkSession, d: str) -> DataFrame:
+    return trees.other_parents(_links(spark, d)).withColumnRenamed("group", "hierarchy")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +96,8 @@ QUERIES = {
         p3_found,
         p3_hierarchy,
         p3_descendants,
+        p3_cycles,
+        p3_other_parents,
         p4_found,
         p4_history,
         p5_found,
@@ -163,6 +176,24 @@ rooted AS (
   FROM ends
 )"""
 
+#: for each node: the ids up to the top or to the cycle it meets, that cycle, and how far it is
+PLACED = f"""{LINKS},
+met AS (
+  SELECT hierarchy, node, closed, top, CASE WHEN closed THEN list_slice(seen, 1, list_position(seen, top) - 1) ELSE seen END AS below,
+         CASE WHEN closed THEN list_slice(seen, list_position(seen, top), len(seen)) ELSE [] END AS ring
+  FROM ends
+  UNION ALL
+  SELECT DISTINCT l.hierarchy, l.parent, false, l.parent, [], [] FROM links l
+  WHERE NOT EXISTS (SELECT 1 FROM links k WHERE k.hierarchy = l.hierarchy AND k.node = l.parent)
+),
+pairs AS (
+  SELECT hierarchy, unnest(list_append(below, top)) AS ancestor, node AS descendant,
+         unnest(range(0, len(below) + 1)) AS distance FROM met
+  UNION ALL
+  SELECT hierarchy, unnest(list_filter(ring, lambda r: r <> top)), node, len(below) + 1 FROM met
+),
+apart AS (SELECT hierarchy, ancestor, descendant, CAST(distance AS INT) AS distance FROM pairs WHERE ancestor <> descendant)"""
+
 ORPHANS = """
 found AS (
   SELECT DISTINCT 'refs' AS source_table, edge_seq AS row_key, repo_id, commit_sha FROM refs r
@@ -213,6 +244,34 @@ WITH k AS (SELECT symbol_id, min(lower(trim(kind))) AS target_kind FROM symbols
 SELECT ref_kind, target_kind, count(*) AS n_rows
 FROM refs LEFT JOIN k ON k.symbol_id = to_symbol_id GROUP BY ALL""",
     "p3_found": f"WITH RECURSIVE {LINKS} SELECT hierarchy, symbol_id, root_id FROM rooted",
+    "p3_hierarchy": f"""
+WITH RECURSIVE {PLACED},
+spelled AS (
+  SELECT hierarchy, node, closed AND len(below) = 0 AS on_cycle,
+         CASE WHEN NOT closed OR top = list_min(ring) THEN list_append(below, top)
+              ELSE list_concat(below, [top, list_min(ring)]) END AS upward
+  FROM met),
+counted AS (SELECT hierarchy, ancestor AS node, count(*) AS n FROM apart GROUP BY ALL)
+SELECT s.hierarchy, s.node AS symbol_id, upward[-1] AS root_id, CAST(len(upward) - 1 AS INT) AS depth,
+       array_to_string(list_reverse(upward), ' > ') AS path, coalesce(n, 0) AS n_descendants, on_cycle
+FROM spelled s LEFT JOIN counted c ON c.hierarchy = s.hierarchy AND c.node = s.node""",
+    "p3_descendants": f"WITH RECURSIVE {PLACED} SELECT * FROM apart",
+    "p3_cycles": f"""
+WITH RECURSIVE {PLACED}
+SELECT m.hierarchy, m.node AS from_node, l.parent AS to_node, CAST(len(ring) AS INT) AS n_nodes
+FROM met m JOIN links l ON l.hierarchy = m.hierarchy AND l.node = m.node
+WHERE closed AND len(below) = 0 AND l.parent = list_min(ring)""",
+    "p3_other_parents": f"""
+WITH {LINKS.split("chain AS")[0].rstrip().rstrip(",")},
+every AS (
+  SELECT 'base' AS hierarchy, node,
+    CASE WHEN contains(r, '{{')
+         THEN regexp_replace(r, '\\{{.*', '') || '`' || CAST(length(r) - length(replace(r, ',', '')) + 1 AS VARCHAR)
+         ELSE r END AS parent FROM flat
+  UNION
+  SELECT 'containment', t.symbol_id, min(p.symbol_id) FROM types t JOIN types p ON p.repo_id = t.repo_id AND p.fqname = t.up
+  GROUP BY t.repo_id, t.symbol_id, t.up)
+SELECT e.* FROM every e JOIN links l ON l.hierarchy = e.hierarchy AND l.node = e.node WHERE e.parent <> l.parent""",
     "p4_found": f"""
 WITH {SNAPSHOTS}, {VERSIONS}
 SELECT m.repo_id, m.stable_id, n.commit_sha AS valid_from_sha

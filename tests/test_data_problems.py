@@ -111,6 +111,35 @@ def test_both_ways_give_the_same_hierarchies(spark, limit):
         assert paths(trees.hierarchies(df, 1)) == paths(trees.hierarchies(df))
 
 
+def test_a_chain_at_the_limit_fits_one_task():
+    import tracemalloc
+
+    links = [(f"{i:06}", f"{i + 1:06}") for i in range(trees.LIMIT)]
+    frame = pd.DataFrame({"group": "g", "comp": 1, "node": [a for a, _ in links], "parent": [b for _, b in links]})
+    tracemalloc.start()
+    got = pd.concat(trees._walker(trees.root_rows, trees.ROOTS)(iter([frame])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == len(links) + 1 and set(got["root"]) == {links[-1][1]} and peak < 1 << 30
+    #: paths come in batches of a bounded number of ids
+    short = frame.tail(3_000)
+    sizes = [b["path"].map(len).sum() for b in trees._walker(trees.full_rows, trees.FULL)(iter([short]))]
+    assert max(sizes) <= trees.BATCH_IDS + 3_001 and sum(sizes) == 3_001 * 3_002 // 2
+
+
+@pytest.mark.parametrize("limit", [trees.LIMIT, 1])
+def test_roots_descendants_and_cycles_agree_with_hierarchies(spark, limit):
+    random.seed(9)
+    links = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "b"), ("s", "s"), ("t", "s"), (None, "q"), ("v", " "), ("d", "c"), ("d", "c")]
+    links += [(f"n{i}", f"n{random.randrange(i)}") for i in range(1, 40)] + [("m1", "m2"), ("m2", "m1"), ("m3", "m2")]
+    df = spark.createDataFrame([("g", *x) for x in links], "group string, node string, parent string")
+    full = trees.hierarchies(df, limit).cache()
+    assert h.rows(trees.roots(df, limit)) == h.rows(full.select("group", "node", "root", "listed"))
+    assert h.rows(trees.all_descendants(df, limit)) == h.rows(trees.descendants(full))
+    assert h.rows(trees.cycles(df, limit)) == [("g", "c", "a", 3), ("g", "m2", "m1", 2), ("g", "s", "s", 1)]
+    assert h.rows(trees.other_parents(df)) == [("g", "d", "c")]
+
+
 def test_components_against_union_find(spark):
     random.seed(5)
     edges = [(random.randrange(400), random.randrange(400)) for _ in range(260)] + [(-5, -5), (1_000, 1_001)]
