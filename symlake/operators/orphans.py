@@ -4,8 +4,9 @@ Keys become integers: 128-bit codes for the shuffle, then dense 16-bit numbers f
 dictionary of the key range at hand. Per key range and period (snapshot) two bitmaps are
 built, of the keys referred to and of the keys present; reference AND-NOT parent leaves the
 orphans, which are decoded through the range's dictionary. Ranges hold at most 65,536 keys
-of one repository, so memory is bounded however many keys, periods or rows there are, and
-each (key, period) is reduced to one entry before the shuffle, so a hot key costs nothing.
+of one repository and end between two keys, so memory is bounded however many keys or rows
+there are: a range may exceed that by the entries of one key, one per snapshot and side. Each
+(key, period) is reduced to one entry before the shuffle, so a hot key costs nothing.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from symlake.session import cut
 
 #: Keys of one bitmap container, and the count from which it is a bitset instead of an array.
 RANGE, DENSE = 65_536, 4_096
+#: Slices of a repository's keys that may go to different tasks; how many keys a slice has does
+#: not matter, as the slices that meet in a task are cut into ranges anew.
+SLICES = 65_536
 
 
 class Bitmap:
@@ -128,7 +132,7 @@ def orphan_rows(child: DataFrame, parent: DataFrame) -> DataFrame:
     )
     ranged = (
         entries.distinct()
-        .repartition("repo", F.pmod("k1", F.lit(256)))
+        .repartition("repo", F.pmod("k1", F.lit(SLICES)))
         .sortWithinPartitions("repo", "k1")
     )
     left = cut(ranged.mapInPandas(_orphans_of_partition, "period long, k1 long, k2 long"))
@@ -139,13 +143,14 @@ def resolved_references(refs: DataFrame, stubs: DataFrame) -> DataFrame:
     """Rows of ``refs`` that claim a target inside the index, as child rows.
 
     Any spelling of ``unresolved`` is left out, a null state is resolved. Targets among the
-    library symbols (a table of fixed size, hence the broadcast) exist everywhere.
+    library symbols exist everywhere; whether these are broadcast is left to the planner, which
+    knows the size of their file.
     """
     outside = stubs.select(F.col("symbol_id").alias("key")).distinct()
     return (
         refs.where(F.coalesce(fold(F.col("resolution_state")), F.lit("resolved")) != "unresolved")
         .select(F.col("edge_seq").alias("row_key"), "repo_id", "commit_sha", F.col("to_symbol_id").alias("key"))
-        .join(F.broadcast(outside), "key", "left_anti")
+        .join(outside, "key", "left_anti")
     )
 
 

@@ -12,8 +12,12 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symlake.session import cut
+
 #: Rows a heavy key's distinct peers are spread over before they are counted.
 SALTS = 64
+#: Rows of a table on the small side of a join up to which it is broadcast.
+NEAR_ROWS = 100_000
 
 
 def named(c: Column) -> Column:
@@ -21,39 +25,41 @@ def named(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def heavy_keys(df: DataFrame, key: str, min_share: float) -> DataFrame:
-    """Candidate heavy keys of ``df``: every key with at least ``min_share`` of all rows.
-
-    A superset with at most ``ceil(1 / min_share)`` rows, so it is safe to broadcast at any
-    input size. The sketch tracks ten times as many items; its error is far below the share.
-    Null keys are never heavy. An empty table gives no keys.
-    """
+def _sketch(key: str, min_share: float) -> Column:
+    """The frequent-items sketch of a column as an aggregate. It tracks ten times as many items as
+    can reach ``min_share``, so that its error is far below the share and no such key is missed."""
     if not 0 < min_share <= 1:
         raise ValueError("min_share must be in (0, 1]")
     k = ceil(1 / min_share)
-    top = df.where(F.col(key).isNotNull()).agg(
-        F.expr(f"approx_top_k(`{key}`, {k}, {10 * k})").alias("top")
-    )
-    return top.select(F.explode("top").alias("t")).select(F.col("t.item").alias(key))
+    return F.expr(f"approx_top_k(`{key}`, {k}, {10 * k}) FILTER (WHERE `{key}` IS NOT NULL)")
 
 
-def split_by_weight(df: DataFrame, key: str, min_share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(heavy keys, rows of heavy keys, all other rows)``; rows with a null key are others.
+def heavy_keys(df: DataFrame, keys: list[str], min_share: float) -> tuple[int, dict[str, list]]:
+    """The number of rows and the candidate heavy keys of some columns, in one scan of ``df``.
 
-    The key list is evaluated once, to a local table of at most ``ceil(1 / min_share)`` rows.
+    Of each column every key with at least ``min_share`` of all rows: a superset of at most
+    ``ceil(1 / min_share)`` keys, whatever the input. Null keys are never heavy. An empty table
+    gives no keys.
     """
-    spark = df.sparkSession
-    keys = [r[0] for r in heavy_keys(df, key, min_share).collect()]
-    hot = spark.createDataFrame([(k,) for k in keys], df.select(key).schema)
-    return (
-        hot,
-        df.join(F.broadcast(hot), key, "left_semi"),
-        df.join(F.broadcast(hot), key, "left_anti"),
-    )
+    tops = {k: _sketch(k, min_share).alias(f"top_{k}") for k in keys}
+    got = df.agg(F.count("*").alias("n"), *tops.values()).first()
+    return got["n"], {k: [t["item"] for t in got[f"top_{k}"] or []] for k in keys}
+
+
+def _listed(df: DataFrame, key: str, keys: list) -> DataFrame:
+    """A list of :func:`heavy_keys` as a table to broadcast: at most ``ceil(1 / min_share)`` rows."""
+    return F.broadcast(df.sparkSession.createDataFrame([(k,) for k in keys], df.select(key).schema))
 
 
-def usage_by_key(df: DataFrame, key: str, peer: str, min_share: float = 0.005) -> DataFrame:
-    """Per key its rows, distinct peers, first and last time, whatever the skew.
+def split_by_weight(df: DataFrame, key: str, keys: list) -> tuple[DataFrame, DataFrame]:
+    """``(rows of heavy keys, all other rows)``; rows with a null key are others."""
+    hot = _listed(df, key, keys)
+    return df.join(hot, key, "left_semi"), df.join(hot, key, "left_anti")
+
+
+def usage_by_key(df: DataFrame, key: str, peer: str, keys: list) -> DataFrame:
+    """Per key its rows, distinct peers, first and last time, whatever the skew; ``keys`` are the
+    heavy ones.
 
     Input columns: ``key``, ``peer`` and ``seen_at``; null keys give no row, null peers count
     as rows but not as peers. Output: ``key, n_rows, n_peers, first_seen, last_seen``. Heavy
@@ -61,7 +67,7 @@ def usage_by_key(df: DataFrame, key: str, peer: str, min_share: float = 0.005) -
     holds all rows or all peers of one of them.
     """
     df = df.where(F.col(key).isNotNull())
-    hot, heavy, rest = split_by_weight(df, key, min_share)
+    heavy, rest = split_by_weight(df, key, keys)
     salted = heavy.withColumn("salt", F.pmod(F.xxhash64(peer), F.lit(SALTS)))
     level1 = salted.groupBy(key, "salt", peer).agg(
         F.count("*").alias("n_rows"),
@@ -89,39 +95,47 @@ def usage_by_key(df: DataFrame, key: str, peer: str, min_share: float = 0.005) -
     return of_heavy.unionByName(of_rest)
 
 
-def rows_by_key(df: DataFrame, key: str, min_share: float) -> DataFrame:
-    """Per key the number of its rows: ``key, n_rows``; heavy and other keys apart."""
-    hot, heavy, rest = split_by_weight(df, key, min_share)
-    count = lambda d: d.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n_rows"))
-    return count(heavy).unionByName(count(rest))
-
-
 def join_by_weight(facts: DataFrame, dim: DataFrame, key: str, min_share: float = 0.005) -> DataFrame:
-    """Left join of ``facts`` with a per-key table ``dim``, without a task for a heavy key.
+    """Left join of ``facts`` with ``dim``, without a task for a heavy key.
 
-    Rows of heavy keys meet their few ``dim`` rows by broadcast (at most one per heavy key,
-    as ``dim`` has one row per key); all other rows, also those with a null key, are shuffled.
-    Clashing column names: ``dim`` must share only the key.
+    Rows of heavy keys meet their ``dim`` rows by broadcast while these are at most
+    ``NEAR_ROWS``; more of them (``dim`` with many rows of a key) are copied once per salt and
+    meet a salted part of the rows each. All other rows, also those with a null key, are
+    shuffled. Clashing column names: ``dim`` must share only the key.
     """
-    hot, heavy, rest = split_by_weight(facts, key, min_share)
-    near = dim.join(F.broadcast(hot), key, "left_semi")
-    return heavy.join(F.broadcast(near), key, "left").unionByName(rest.join(dim, key, "left"))
+    _, heavy_of = heavy_keys(facts, [key], min_share)
+    heavy, rest = split_by_weight(facts, key, heavy_of[key])
+    near = cut(dim.join(_listed(facts, key, heavy_of[key]), key, "left_semi"))
+    if near.count() <= NEAR_ROWS:
+        met = heavy.join(F.broadcast(near), key, "left")
+    else:
+        copies = near.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        salted = heavy.withColumn("_salt", F.floor(F.rand(17) * SALTS).cast("int"))
+        met = salted.join(copies, [key, "_salt"], "left").drop("_salt")
+    return met.unionByName(rest.join(dim, key, "left"))
 
 
 def dominant_symbols(refs: DataFrame, min_share: float = 0.02) -> DataFrame:
     """Symbols in at least ``min_share`` of all rows of ``refs``: ``side, symbol_id``.
 
     Sides are ``from`` and ``to``; all rows count in the total, also repeats and rows without
-    a symbol; null and empty are not symbols. An empty table gives no rows.
+    a symbol; null and empty are not symbols. An empty table gives no rows. Two scans: one for
+    the total and the sketches of both sides, one that counts the rows of the heavy keys by
+    broadcast join, combined before they are moved. A key that no sketch names has less than
+    half the share, so the ordinary keys add nothing to this union and are not shuffled;
+    :func:`symbol_usage` has the rows of both parts.
     """
-    out = None
-    total = refs.count()
-    for side in ("from", "to"):
-        keyed = refs.select(named(F.col(f"{side}_symbol_id")).alias("symbol_id"))
-        per = rows_by_key(keyed, "symbol_id", min_share / 2)
-        part = per.where(F.col("n_rows") >= total * min_share).select(F.lit(side).alias("side"), "symbol_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = refs.select(*(named(F.col(f"{side}_symbol_id")).alias(side) for side in ("from", "to")))
+    total, heavy = heavy_keys(rows, ["from", "to"], min_share / 2)
+    hot = refs.sparkSession.createDataFrame([(s, k) for s, keys in heavy.items() for k in keys], "side string, symbol_id string")
+    both = F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("symbol_id")) for s in heavy))
+    counted = (
+        rows.select(F.inline(both))
+        .join(F.broadcast(hot), ["side", "symbol_id"], "left_semi")
+        .groupBy("side", "symbol_id")
+        .agg(F.count("*").alias("n_rows"))
+    )
+    return counted.where(F.col("n_rows") >= total * min_share).select("side", "symbol_id")
 
 
 def symbol_usage(refs: DataFrame, symbols: DataFrame, min_share: float = 0.005) -> DataFrame:
@@ -130,14 +144,12 @@ def symbol_usage(refs: DataFrame, symbols: DataFrame, min_share: float = 0.005)
     Output: ``side, symbol_id, kind, n_rows, n_peers, first_seen, last_seen``.
     """
     kinds = symbols.groupBy("symbol_id").agg(F.min(F.lower(F.trim("kind"))).alias("kind"))
+    named_ = {side: named(F.col(f"{side}_symbol_id")) for side in ("from", "to")}
+    _, heavy = heavy_keys(refs.select(*(c.alias(s) for s, c in named_.items())), ["from", "to"], min_share)
     out = None
     for side, other in (("from", "to"), ("to", "from")):
-        keyed = refs.select(
-            named(F.col(f"{side}_symbol_id")).alias("symbol_id"),
-            named(F.col(f"{other}_symbol_id")).alias("peer"),
-            F.col("indexed_at").alias("seen_at"),
-        )
-        part = usage_by_key(keyed, "symbol_id", "peer", min_share).withColumn("side", F.lit(side))
+        keyed = refs.select(named_[side].alias("symbol_id"), named_[other].alias("peer"), F.col("indexed_at").alias("seen_at"))
+        part = usage_by_key(keyed, "symbol_id", "peer", heavy[side]).withColumn("side", F.lit(side))
         out = part if out is None else out.unionByName(part)
     return out.join(kinds, "symbol_id", "left").select(
         "side", "symbol_id", "kind", "n_rows", "n_peers", "first_seen", "last_seen"

@@ -52,6 +52,15 @@ def test_join_by_weight_keeps_every_row(spark):
     assert h.rows(out) == [("Call", "field", 40), ("Call", None, 43)]
 
 
+@pytest.mark.parametrize("near", [skew.NEAR_ROWS, 1])
+def test_join_by_weight_with_many_rows_of_a_key(spark, near, monkeypatch):
+    monkeypatch.setattr(skew, "NEAR_ROWS", near)
+    facts = spark.createDataFrame([("hot", i) for i in range(90)] + [("cold", 90), ("none", 91), (None, 92)], "k string, n int")
+    dim = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("cold", "c"), (None, "d")], "k string, v string")
+    want = [("hot", i, v) for i in range(90) for v in "ab"] + [("cold", 90, "c"), ("none", 91, None), (None, 92, None)]
+    assert h.rows(skew.join_by_weight(facts, dim, "k", 0.5)) == sorted(want, key=repr)
+
+
 # --- hierarchies -----------------------------------------------------------------------------
 
 
