@@ -12,6 +12,8 @@ marked, which bounds the work by the length of the piece times the longest prefi
 from __future__ import annotations
 
 import base64
+import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -27,6 +29,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pre-tokenisation pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The same for texts of ASCII characters alone, which have no other letters, numbers and spaces.
+ASCII_PATTERN = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+)
+
 #: Remembered pieces and token pairs per Python worker; beyond it they are computed again.
 MEMO = 1 << 18
 
@@ -40,6 +47,7 @@ class Encoder:
         self.text = {r: t for t, r in self.tokens.items()}
         self.widest = max(map(len, self.tokens))
         self.find = regex.compile(pattern).findall
+        self.find_ascii = re.compile(ASCII_PATTERN).findall if pattern == PATTERN else self.find
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.tokens.items():
             self.automaton.add_word(token, rank)
@@ -48,7 +56,7 @@ class Encoder:
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.pair_memo: dict[tuple[int, int], bool] = {}
-        self.piece_memo: dict[str, list[int]] = {}
+        self.part_memo: dict[str, list[int]] = {}
         for rank in sorted(self.text):
             self.halves[rank] = self._halves(rank)
 
@@ -120,17 +128,23 @@ class Encoder:
     def piece(self, piece: str) -> list[int]:
         """Ids of one piece, given as Latin-1 text."""
         whole = self.tokens.get(piece)
-        if whole is not None:
-            return [whole]
-        known = self.piece_memo.get(piece)
+        return [whole] if whole is not None else self._backtrack(piece)
+
+    def part(self, part: str) -> list[int]:
+        """Ids of one part of a text, remembered."""
+        known = self.part_memo.get(part)
         if known is None:
-            known = self._backtrack(piece)
-            if len(piece) <= 64:
-                if len(self.piece_memo) >= MEMO:
-                    self.piece_memo.clear()
-                self.piece_memo[piece] = known
+            known = self.piece(part if part.isascii() else part.encode("utf-8", "surrogatepass").decode("latin-1"))
+            if len(part) <= 64:
+                if len(self.part_memo) >= MEMO:
+                    self.part_memo.clear()
+                self.part_memo[part] = known
         return known
 
+    def parts(self, text: str) -> list[str]:
+        """A text cut by the pre-tokenisation pattern."""
+        return self.find_ascii(text) if text.isascii() else self.find(text)
+
     def _backtrack(self, piece: str) -> list[int]:
         size = len(piece)
         dead = bytearray(size + 1)
@@ -158,20 +172,16 @@ class Encoder:
         if not text:
             return []
         ids: list[int] = []
-        tokens, piece = self.tokens, self.piece
-        for part in self.find(text):
-            if not part.isascii():
-                part = part.encode("utf-8", "surrogatepass").decode("latin-1")
-            whole = tokens.get(part)
-            if whole is not None:
-                ids.append(whole)
-            else:
-                ids.extend(piece(part))
+        part = self.part
+        for one in self.parts(text):
+            ids += part(one)
         return ids
 
     def count(self, text: str | None) -> int:
-        """Number of ids of a text."""
-        return len(self.encode(text))
+        """Number of ids of a text, without listing them."""
+        if not text:
+            return 0
+        return sum(n * len(self.part(one)) for one, n in Counter(self.parts(text)).items())
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids."""

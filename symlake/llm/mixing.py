@@ -4,8 +4,9 @@ Sizes are tokens of a public tokenizer. A source that cannot fill its share even
 largest number of repeats is clamped there, and what it leaves is spread over the others in
 proportion to their shares, until nothing exceeds. Allocations are met by whole repeats of
 every document and one more of a seeded part, cut where the running sum of tokens comes
-nearest to what is left, so a source misses by half a document at most: the sums run over 65,536 hash ranges per source first and over one range's rows
-after that, so that no task orders a source as a whole.
+nearest to what is left, so a source misses by half a document at most: the sums run over
+65,536 hash ranges per source first and over one range's rows after that, so that no task
+orders a source as a whole.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from symlake.session import cut
 
 #: Hash ranges of each source.
 RANGES = 65_536
+#: Sources of a mix at most: their plan is made on the driver and broadcast.
+MAX_TARGETS = 10_000
 #: As a total: all tokens of the listed sources.
 AVAILABLE = "available"
 
@@ -55,15 +58,20 @@ def sizes(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) ->
     """Tokens of the documents of listed sources: ``doc_id, source, n_tokens``, written out.
 
     Other and null sources do not belong and are left out before they are encoded; so are null
-    and empty texts after it, which add nothing. ``targets`` has a fixed, small size.
+    and empty texts after it, which add nothing.
     """
     listed = targets.select("source").where("source is not null").distinct()
-    mine = docs.join(F.broadcast(listed), "source", "left_semi").select("doc_id", "source", "text")
+    mine = docs.join(listed, "source", "left_semi").select("doc_id", "source", "text")
     return cut(token_counts(mine, "text", vocabulary).where("n_tokens > 0"))
 
 
 def plan(sized: DataFrame, targets: DataFrame, total: float | str | None = None) -> list[dict]:
-    """Allocation per listed source, from sums per source (as many rows as targets)."""
+    """Allocation per listed source, from sums per source (as many rows as targets).
+
+    More than ``MAX_TARGETS`` sources raise, as the plan is made on the driver.
+    """
+    if targets.limit(MAX_TARGETS + 1).count() > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
     have = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     goal = {}
     for r in targets.where("source is not null").orderBy("source").collect():

@@ -3,8 +3,9 @@
 Two inputs: rows of ``symbols`` that already carry signature and documentation, and source
 files, from which :func:`source_functions` reads them: signatures by regular expressions,
 bodies by a stack of braces, indentation or end keywords, and the adjacent comment by its
-distance in lines. Both go through :func:`tells_something`, which keeps documentation that
-has at least one word beyond name, signature, markup and stock phrases.
+distance in lines. A symbol whose file has content gets what is read at its place there; the
+stored documentation speaks for the others. All go through :func:`tells_something`, which keeps
+documentation that has at least one word beyond name, signature, markup and stock phrases.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symlake.functions.text import fold, squeeze
-from symlake.session import held
 
 #: Kinds of symbols that are functions.
 FUNCTION_KINDS = ["method", "constructor", "operator"]
@@ -85,44 +85,74 @@ def last_name(symbol_id: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(symbol_id, r"[({].*$", ""), r"([^.:]*)$", 1)
 
 
-def symbol_pairs(symbols: DataFrame) -> DataFrame:
-    """Pairs of the functions among ``symbols``: ``symbol_id, kind, signature, documentation``.
+PLACE = ["repo_id", "commit_sha", "file_id"]
+
 
-    Kinds in any spelling; one row per distinct pair, white space evened out. Rows with a null
-    symbol_id are left out, a null signature counts as empty. A narrow filter in the JVM, then
-    one distinct.
+def function_rows(symbols: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """The functions among ``symbols``: ``symbol_id, kind, signature, documentation, owner, origin``.
+
+    With ``files`` (repo_id, commit_sha, file_id, path, content) a symbol whose file has content
+    in its snapshot takes the comment that :func:`source_functions` attaches to the function in
+    its first line (``origin`` is ``source``); where that has none, or the file has no content,
+    the stored documentation holds (``stored``). Rows with a null symbol_id are left out.
     """
-    rows = symbols.where(
-        fold(F.col("kind")).isin(FUNCTION_KINDS)
-        & F.col("symbol_id").isNotNull()
-        & F.col("documentation").rlike(r"\p{L}")
+    rows = symbols.where(fold(F.col("kind")).isin(FUNCTION_KINDS) & F.col("symbol_id").isNotNull()).select(
+        *(PLACE if files is not None else []),
+        *(["span_start"] if files is not None else []),
+        "symbol_id",
+        fold(F.col("kind")).alias("kind"),
+        squeeze(F.col("signature")).alias("signature"),
+        squeeze(F.col("documentation")).alias("documentation"),
+        F.regexp_extract(F.coalesce("containing_type", F.lit("")), r"([^.:]*)$", 1).alias("owner"),
     )
-    owner = F.regexp_extract(F.coalesce("containing_type", F.lit("")), r"([^.:]*)$", 1)
-    return (
-        rows.where(held(tells_something(F.col("documentation"), last_name(F.col("symbol_id")), F.col("signature"), owner)))
-        .select(
-            "symbol_id",
-            fold(F.col("kind")).alias("kind"),
-            squeeze(F.col("signature")).alias("signature"),
-            squeeze(F.col("documentation")).alias("documentation"),
-        )
-        .distinct()
+    if files is None:
+        return rows.withColumn("origin", F.lit("stored"))
+    #: of functions that begin in one line the last comment by its letters
+    comments = (
+        _read_functions(files, PLACE)
+        .where("documentation <> ''")
+        .groupBy(*PLACE, F.col("first_line").alias("span_start"))
+        .agg(F.max("documentation").alias("comment"))
+    )
+    joined = rows.join(comments, [*PLACE, "span_start"], "left")
+    return joined.select(
+        "symbol_id",
+        "kind",
+        "signature",
+        F.coalesce(squeeze(F.col("comment")), "documentation").alias("documentation"),
+        "owner",
+        F.when(F.col("comment").isNull(), "stored").otherwise("source").alias("origin"),
     )
 
 
-def documented_symbols(symbols: DataFrame) -> DataFrame:
+def _judged(rows: DataFrame, *by: str) -> DataFrame:
+    """Groups of :func:`function_rows` of which a row tells something. Rows that repeat, as from
+    snapshot to snapshot, are judged once."""
+    once = rows.where(F.col("documentation").rlike(r"\p{L}")).distinct()
+    tells = tells_something(F.col("documentation"), last_name(F.col("symbol_id")), F.col("signature"), F.col("owner"))
+    return once.groupBy(*by).agg(F.max(tells).alias("tells")).where("tells").drop("tells")
+
+
+def symbol_pairs(symbols: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Pairs of the functions among ``symbols``: ``symbol_id, kind, signature, documentation``.
+
+    Kinds in any spelling; one row per distinct pair, white space evened out; a null signature
+    counts as empty. Inputs as for :func:`function_rows`.
+    """
+    rows = function_rows(symbols, files).drop("origin")
+    return _judged(rows, "symbol_id", "kind", "signature", "documentation")
+
+
+def documented_symbols(symbols: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """``symbol_id`` of the functions with a pair in :func:`symbol_pairs`, each once."""
-    rows = symbols.where(
-        fold(F.col("kind")).isin(FUNCTION_KINDS)
-        & F.col("symbol_id").isNotNull()
-        & F.col("documentation").rlike(r"\p{L}")
-    )
-    owner = F.regexp_extract(F.coalesce("containing_type", F.lit("")), r"([^.:]*)$", 1)
-    return (
-        rows.where(held(tells_something(F.col("documentation"), last_name(F.col("symbol_id")), F.col("signature"), owner)))
-        .select("symbol_id")
-        .distinct()
-    )
+    return _judged(function_rows(symbols, files).drop("kind", "origin"), "symbol_id")
+
+
+def pair_origins(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Documented symbols by where their documentation was read: ``origin, n_symbols``; a symbol
+    counts in both if its snapshots differ."""
+    both = _judged(function_rows(symbols, files).drop("kind"), "symbol_id", "origin")
+    return both.groupBy("origin").agg(F.count("*").alias("n_symbols"))
 
 
 # --- functions read from source files -------------------------------------------------------
@@ -398,32 +428,39 @@ def source_functions(text: str | None, style: str) -> Iterator[tuple[int, int, s
         yield at + 1, len(lines), name, signature, doc
 
 
-def pairs_from_sources(sources: DataFrame) -> DataFrame:
-    """Functions of source files with telling documentation.
-
-    ``sources`` has source_id (string), path, content; the style goes by the path's extension,
-    unknown ones count as braced. Output: ``source_id, first_line, last_line, name, signature,
-    documentation``, one row per function and file; repeated rows of a file give their pairs
-    once. Files are read whole, one by one: a narrow operator, then one distinct.
-    """
+def _read_functions(files: DataFrame, ids: list[str]) -> DataFrame:
+    """:func:`source_functions` of every file: ``ids, first_line, last_line, name, signature,
+    documentation``. ``files`` has the string columns ``ids``, path and content; the style goes
+    by the path's extension, unknown ones count as braced. Files are read whole, one by one."""
+    names = [*ids, "first_line", "last_line", "name", "signature", "documentation"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["source_id", "first_line", "last_line", "name", "signature", "documentation"]
         for batch in batches:
             rows = []
-            for source_id, path, content in batch[["source_id", "path", "content"]].itertuples(index=False, name=None):
+            for *own, path, content in batch[[*ids, "path", "content"]].itertuples(index=False, name=None):
                 style = STYLES.get((path or "").rpartition(".")[2].lower(), "braced")
-                rows.extend((source_id, *f) for f in source_functions(content, style) if f[4])
+                rows.extend((*own, *f) for f in source_functions(content, style))
             yield pd.DataFrame(rows, columns=names)
 
-    found = (
-        sources.where(F.col("content").isNotNull())
-        .select("source_id", "path", "content")
+    return (
+        files.where(F.col("content").isNotNull())
+        .select(*ids, "path", "content")
         .mapInPandas(
             read,
-            "source_id string, first_line int, last_line int, name string, signature string, documentation string",
+            ", ".join(f"{i} string" for i in ids)
+            + ", first_line int, last_line int, name string, signature string, documentation string",
         )
     )
+
+
+def pairs_from_sources(sources: DataFrame) -> DataFrame:
+    """Functions of source files with telling documentation.
+
+    ``sources`` has source_id (string), path, content. Output: ``source_id, first_line,
+    last_line, name, signature, documentation``, one row per function and file; repeated rows of
+    a file give their pairs once. A narrow operator, then one distinct.
+    """
+    found = _read_functions(sources, ["source_id"])
     return found.where(
         tells_something(F.col("documentation"), F.col("name"), F.col("signature"), F.lit(""))
     ).distinct()

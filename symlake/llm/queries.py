@@ -14,16 +14,22 @@ def _read(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
     return spread(table(spark, d, name).select(*columns))
 
 
-SYMBOL = ["symbol_id", "kind", "signature", "documentation", "containing_type"]
+PLACE = ["repo_id", "commit_sha", "file_id"]
+SYMBOL = [*PLACE, "span_start", "symbol_id", "kind", "signature", "documentation", "containing_type"]
+SOURCE = [*PLACE, "path", "content"]
 FILE = ["file_id", "path", "is_virtual", "project_name", "content"]
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.documented_symbols(_read(spark, d, "symbols", *SYMBOL))
+    return pairs.documented_symbols(table(spark, d, "symbols").select(*SYMBOL), _read(spark, d, "files", *SOURCE))
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.symbol_pairs(_read(spark, d, "symbols", *SYMBOL))
+    return pairs.symbol_pairs(table(spark, d, "symbols").select(*SYMBOL), _read(spark, d, "files", *SOURCE))
+
+
+def p2_origins(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.pair_origins(table(spark, d, "symbols").select(*SYMBOL), _read(spark, d, "files", *SOURCE))
 
 
 def p2_source_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +43,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_verdicts(spark: SparkSession, d: str) -> DataFrame:
     rows = handwritten.verdicts(_read(spark, d, "files", *FILE)).where("verdict is not null")
-    return rows.groupBy("verdict").agg(F.count_distinct("file_id").alias("n_files"))
+    return rows.groupBy("verdict").agg(
+        F.count_distinct("file_id").alias("n_files"),
+        F.count_distinct(F.when(F.col("layout_verdict").isNotNull(), F.col("file_id"))).alias("n_by_layout"),
+    )
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +61,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(_read(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_full_mix(spark: SparkSession, d: str) -> DataFrame:
+    docs = _read(spark, d, "documents", "doc_id", "source", "text")
+    return mixing.mixture(docs, table(spark, d, "mix_targets"), mixing.AVAILABLE)[0]
+
+
 def p9_full_shares(spark: SparkSession, d: str) -> DataFrame:
     docs = _read(spark, d, "documents", "doc_id", "source", "text")
     return mixing.mixture(docs, table(spark, d, "mix_targets"), mixing.AVAILABLE)[1]
@@ -70,12 +84,14 @@ QUERIES = {
     for f in (
         p2_found,
         p2_pairs,
+        p2_origins,
         p2_source_pairs,
         p7_found,
         p7_verdicts,
         p8_ids,
         p9_mix,
         p9_shares,
+        p9_full_mix,
         p9_full_shares,
         p10_found,
         p10_kinds,

@@ -2,8 +2,9 @@
 
 Every line is cut into units (a line, or the members of a separated enumeration) and each
 unit is reduced to a shape: its word count class, capitals, code marks, links, prices, and
-whether it reads as a sentence. A page is flagged when few non-sentence shapes dominate it:
-bare links or hosts, priced articles, or short phrases that keep repeating the same words.
+whether it reads as a sentence, by its function words or, in any language, by its capitals and
+its closing mark. A page is flagged when few non-sentence shapes dominate it: bare links or
+hosts, priced articles, or short phrases that keep repeating the same words.
 Pages of code, member and package lists, change logs, glossaries and described links have
 shapes of their own and stay; so do texts that only quote such a page.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,32 +52,32 @@ FUNCTION_WORDS = frozenset(
 ANCHOR = re.compile(r"<a\b[^>]*href\s*=\s*[\"']?([^\s\"'>]+)[^>]*>(.*?)</a\s*>", re.I | re.S)
 BREAK = re.compile(r"<(?:br|p|li|div|tr|h\d)\b[^>]*>|</(?:p|li|div|tr|h\d)>", re.I)
 TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?>", re.I)
-QUOTED = re.compile(r"[\"“„«][^\"”“»\n]{0,2000}[\"”“»]")
+QUOTED = re.compile(r"[\"“„«][^\"”“»\n]*[\"”“»]")
 HASHTAG = re.compile(r"(?<!\S)#(?=\w*[^\W\d_])\w+")
 
 #: Parts an enumeration has at least, and words per part it has at most on average.
 PARTS, PART_WORDS = 6, 6
 #: Weight of a link besides its words.
 LINK_WEIGHT = 3
-#: Words of search advertising in the languages of the corpus.
-SEARCH_WORDS = frozenset(
-    """
-    best top cheap free buy order price discount coupon deal sale online download review tutorial crack keygen
-    license full version near me 2024 2025 2026 beste bester billig günstig kaufen bestellen preis rabatt gutschein
-    angebot kostenlos vergleich testsieger meilleur gratuit acheter commander prix promo remise avis télécharger
-    comparatif mejor barato gratis comprar precio descuento oferta opiniones descargar cupón
-    """.split()
-)
 #: Share of a page's weight that few shapes hold when they dominate it, and units of links or
-#: articles, words of phrases and share of repeated words that make a list or heap of them; a
-#: smaller share of repeated words does where search words have their share.
-DOMINANT, LEAST_UNITS, LEAST_WORDS, REPEATED = 0.5, 8, 20, 0.25
-REPEATED_SEARCH, SEARCHED = 0.08, 0.08
+#: articles, words of phrases and share of repeated words that make a list or heap of them.
+DOMINANT, LEAST_UNITS, LEAST_WORDS, REPEATED = 0.5, 8, 20, 0.08
+#: Words of a sentence at least, share of function words among them; and where a closing mark
+#: tells it, share of words without a capital, and of different ones in any stretch of words.
+SENTENCE_WORDS, PLAIN, SMALL, VARIED, STRETCH = 5, 0.12, 0.6, 0.6, 50
+
+#: What an enumeration is cut at, sign by sign: a cheap test before the costly split.
+SEPARATOR = re.compile(r"[;|｜•★☆·,/~»›►▪◆\t]|\s{2}|\s[-–—+>]\s")
+DIGIT = re.compile(r"\d")
+CLOSED = re.compile(r"^\W*[A-ZÀ-ÖØ-ÞΑ-ΩА-Я].*[^.!?…。][.!?…。][\"'”»)\]]*$", re.S)
+#: Shapes of lines that a worker remembers.
+MEMO = 1 << 15
 
 
 def units(text: str) -> list[tuple[str, bool]]:
     """``(unit, is member of an enumeration)`` of a text's lines; quoted passages left out."""
-    text = text.translate(INVISIBLE)
+    if not text.isascii():
+        text = text.translate(INVISIBLE)
     if "<" in text:
         text = ANCHOR.sub(r"\n[\2](\1)\n", text)
         text = TAG.sub(" ", BREAK.sub("\n", text))
@@ -86,50 +88,82 @@ def units(text: str) -> list[tuple[str, bool]]:
             continue
         if '"' in line or "“" in line or "„" in line or "«" in line:
             line = QUOTED.sub(" quoted ", line)
-        tags = HASHTAG.findall(line)
+        tags = HASHTAG.findall(line) if line.count("#") >= PARTS else ()
         if len(tags) >= PARTS:
             out.extend((t, True) for t in tags)
             line = HASHTAG.sub(" ", line).strip(" ,|")
             if not line:
                 continue
-        parts = [p for p in SPLIT.split(URL.sub(" ", line)) if p]
-        if len(parts) >= PARTS and sum(len(p.split()) for p in parts) <= PART_WORDS * len(parts):
-            out.extend((p, True) for p in parts)
-        else:
-            out.append((line, False))
+        out.extend(_parts(line))
     return out
 
 
-def shape(unit: str, member: bool) -> tuple[str, list[str]]:
+def _parts(line: str) -> list[tuple[str, bool]]:
+    """A line as the members of an enumeration, links kept with their labels, or as it is."""
+    if len(SEPARATOR.findall(line)) < PARTS - 1:
+        return [(line, False)]
+    links = URL.findall(line)
+    #: links must not be cut at their own slashes and commas
+    bare = URL.sub("\x00", line) if links else line
+    parts = [p for p in SPLIT.split(bare) if p]
+    if len(parts) < PARTS or sum(len(p.split()) for p in parts) > PART_WORDS * len(parts):
+        return [(line, False)]
+    if not links:
+        return [(p, True) for p in parts]
+    left = iter(links)
+    return [(re.sub("\x00", lambda _: next(left, ""), p), True) for p in parts]
+
+
+def _hosts(unit: str) -> list[str]:
+    """The bare hosts of a unit, if its words are hosts but for a short label."""
+    tokens = [t.strip("-*•[](),;").rstrip(".") for t in unit.split() if "." in t]
+    return [t for t in tokens if t in (t.lower(), t.upper()) and HOST.match(t)]
+
+
+def reads_as_sentence(rest: str, words: list[str], plain: int) -> bool:
+    """Enough words, and function words among them or a capital, a closing mark, small words and
+    few that come back soon."""
+    if len(words) < SENTENCE_WORDS:
+        return False
+    if plain >= PLAIN * len(words):
+        return True
+    if not CLOSED.match(rest):
+        return False
+    different = sum(len(set(words[i : i + STRETCH])) for i in range(0, len(words), STRETCH))
+    return different >= VARIED * len(words) and sum(w[0].islower() for w in WORD.findall(rest)) >= SMALL * len(words)
+
+
+@lru_cache(MEMO)
+def shape(unit: str, member: bool) -> tuple[str, tuple[str, ...]]:
     """``(shape, words in lower case)`` of one unit.
 
     Shapes: ``link`` (a bare link or host, at most with a short label), ``article`` (two of
-    price, article number and stock note), ``sentence`` (enough function words, or a link
+    price, article number and stock note), ``sentence`` (:func:`reads_as_sentence`, or a link
     that is described), ``tag`` (a hash tag among others), ``code``, ``head``, ``mark`` (no
     word), ``phrase`` (anything else).
     """
     if member and unit[0] == "#":
-        return "tag", [unit[1:].lower()]
-    links = URL.findall(unit)
+        return "tag", (unit[1:].lower(),)
+    links = URL.findall(unit) if "://" in unit or "ww" in unit.lower() else []
     rest = URL.sub(" ", unit) if links else unit
     if not links and "." in unit:
-        tokens = rest.strip("-*• []()").split()
-        first = tokens[0].rstrip(".,;") if tokens else ""
-        if "." in first and first in (first.lower(), first.upper()) and HOST.match(first):
-            links, rest = [first], " ".join(tokens[1:])
-    words = [w.lower() for w in WORD.findall(rest)]
-    plain = sum(w in FUNCTION_WORDS for w in words)
+        links = _hosts(rest)
+        if links:
+            gone = set(links)
+            rest = " ".join(t for t in rest.split() if t.strip("-*•[](),;").rstrip(".") not in gone)
+    words = tuple(WORD.findall(rest.lower()))
+    plain = sum(map(FUNCTION_WORDS.__contains__, words))
     if links:
         return ("link" if len(words) <= 5 * len(links) and not plain else "sentence"), words
     if member and "." not in unit and "(" not in unit and words:
         return ("phrase" if plain < 0.34 * len(words) else "sentence"), words
-    if sum(p.search(rest) is not None for p in (PRICE, ARTICLE, STOCK)) >= 2:
+    if DIGIT.search(rest) and sum(p.search(rest) is not None for p in (PRICE, ARTICLE, STOCK)) >= 2:
         return "article", words
     if not words:
         return "mark", words
     if unit[0] == "#" and len(words) <= 8:
         return "head", words
-    if len(words) >= 5 and plain >= 0.12 * len(words):
+    if reads_as_sentence(rest, words, plain):
         return "sentence", words
     if CODE.search(rest):
         return "code", words
@@ -137,8 +171,8 @@ def shape(unit: str, member: bool) -> tuple[str, list[str]]:
 
 
 def profile(text: str | None) -> dict[str, float]:
-    """Weight of each shape, numbers of link and article units, words of phrases, the share of
-    them that repeats and that of search words; all zero for null and blank texts."""
+    """Weight of each shape, numbers of link and article units, words of phrases and the share of
+    them that repeats; all zero for null and blank texts."""
     weight: Counter = Counter()
     number: Counter = Counter()
     phrases: Counter = Counter()
@@ -161,7 +195,6 @@ def profile(text: str | None) -> dict[str, float]:
         "articles": number["article"],
         "phrase_words": heap,
         "repeat": 1 - len(phrases) / heap if heap else 0.0,
-        "searched": sum(n for w, n in phrases.items() if w in SEARCH_WORDS) / heap if heap else 0.0,
     }
 
 
@@ -170,8 +203,7 @@ def spam_kind(p: dict[str, float]) -> str | None:
     if not p["total"]:
         return None
     least = DOMINANT * p["total"]
-    often = p["repeat"] >= (REPEATED_SEARCH if p["searched"] >= SEARCHED else REPEATED)
-    heap = p["phrase"] if often else 0
+    heap = p["phrase"] if p["repeat"] >= REPEATED else 0
     if p["link"] >= least and p["links"] >= LEAST_UNITS:
         return "links"
     if p["article"] >= least and p["articles"] >= LEAST_UNITS:
