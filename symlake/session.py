@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,13 +36,7 @@ def spread(df: DataFrame) -> DataFrame:
     cores and is left as it is; what is moved is at most a scan partition per core.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
-
-
-def held(condition: Column) -> Column:
-    """``condition``, kept by the optimizer where it stands: a costly filter after :func:`spread`
-    would otherwise move below the exchange, back to the few partitions of the scan."""
-    return (F.spark_partition_id() < 0) | condition
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def cut_with(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
