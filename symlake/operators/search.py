@@ -62,6 +62,28 @@ def _score(query: str, tokens: list[str]) -> Column:
     ).cast("int")
 
 
+def _asked(queries: list[str]) -> list[tuple[str, str, list[str]]]:
+    """Text, clean text and tokens of each query; a blank one raises :class:`InvalidArgument`."""
+    asked = []
+    for text in queries:
+        clean = sanitize_query(text)
+        tokens = query_tokens(clean)
+        if not tokens:
+            raise InvalidArgument("empty query")
+        asked.append((text, clean, tokens))
+    return asked
+
+
+def may_match(queries: list[str]) -> Column:
+    """Whether a symbol has the pieces of any query: every token is a piece of its names, signature
+    or documentation. A cheap condition in generated code, before names are taken apart."""
+    shown = F.lower(F.concat_ws(" ", "symbol_id", "namespace", "signature", "documentation"))
+    return reduce(
+        lambda a, b: a | b,
+        [reduce(lambda a, b: a & b, [shown.contains(t) for t in tokens]) for _, _, tokens in _asked(queries)],
+    )
+
+
 def search(
     symbols: DataFrame,
     queries: list[str],
@@ -77,23 +99,13 @@ def search(
     answered in one scan: matches are decided in the row, and only the candidates of a
     partial top-k are shuffled. Blank queries raise :class:`InvalidArgument`.
     """
-    asked = []
-    for text in queries:
-        clean = sanitize_query(text)
-        tokens = query_tokens(clean)
-        if not tokens:
-            raise InvalidArgument("empty query")
-        asked.append((text, clean, tokens))
+    asked = _asked(queries)
     rows = symbols
     if kinds:
         rows = rows.where(F.col("kind").isin([k.lower() for k in kinds]))
     if namespace:
         rows = rows.where(F.lower("namespace").startswith(namespace.lower()))
-    #: every token is a piece of these columns, so rows without the pieces are out early, in
-    #: generated code, before names are taken apart
-    shown = F.lower(F.concat_ws(" ", "symbol_id", "namespace", "signature", "documentation"))
-    may = [reduce(lambda a, b: a & b, [shown.contains(t) for t in tokens]) for _, _, tokens in asked]
-    rows = with_tokens(rows.where(reduce(lambda a, b: a | b, may)))
+    rows = with_tokens(rows.where(may_match(queries)))
     single = sorted({t for _, _, tokens in asked for t in tokens if len(t) == 1})
     if single:
         own = with_tokens(symbols).select(*KEY, F.explode("tokens").alias("token"))
