@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Borders inside a compound word: aB, ABc, a1 and 1a.
+#: Fixed value: borders inside a compound word, aB, ABc, a1 and 1a.
 CAMEL = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
 
 
@@ -37,31 +37,25 @@ def parent_name(fqname: Column) -> Column:
     return F.when(bare.contains("."), F.regexp_replace(bare, r"\.[^.]*$", ""))
 
 
+#: Fixed value: what separates the words of a text.
+NO_WORD = r"[^A-Za-z0-9]+"
+
+
 def words(text: Column) -> Column:
     """Lower-case parts of the words of a text, whole and split at compound borders, of two
     letters at least, each once."""
-    raw = F.filter(F.split(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9]+"), lambda w: F.length(w) > 1)
+    raw = F.filter(F.split(F.coalesce(text, F.lit("")), NO_WORD), lambda w: F.length(w) > 1)
     parts = F.flatten(F.transform(raw, lambda w: F.split(w, CAMEL)))
     both = F.transform(F.concat(raw, parts), F.lower)
     return F.array_distinct(F.filter(both, lambda w: F.length(w) > 1))
 
 
 def index_tokens(symbol_id: Column, namespace: Column, signature: Column, documentation: Column) -> Column:
-    """All search tokens of a symbol: its display name whole and in parts, namespace parts, full
-    name, and the words of signature and documentation."""
-    display = display_name(symbol_id)
-    parts = F.transform(F.split(display, CAMEL), F.lower)
-    spaces = F.transform(F.split(F.coalesce(namespace, F.lit("")), r"\."), F.lower)
-    long_ = lambda a: F.filter(a, lambda w: F.length(w) > 1)
-    return F.array_distinct(
-        F.concat(
-            F.array(F.lower(display), F.lower(doc_name(symbol_id))),
-            long_(parts),
-            long_(spaces),
-            words(signature),
-            words(documentation),
-        )
-    )
+    """All search tokens of a symbol, each once: the tokens of its name, its full name, the parts
+    of its namespace, and the words of its signature and documentation."""
+    spaces = F.filter(F.split(F.lower(F.coalesce(namespace, F.lit(""))), r"\."), lambda w: F.length(w) > 1)
+    full = F.array(F.lower(doc_name(symbol_id)))
+    return F.array_distinct(F.concat(name_tokens(symbol_id), full, spaces, words(F.concat_ws(" ", signature, documentation))))
 
 
 def name_tokens(symbol_id: Column) -> Column:

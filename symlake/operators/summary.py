@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,9 @@ SECTIONS = {
     "Middleware": "Pipeline", "RetryPolicy": "Resilience", "Exception": "Errors", "Log": "Logging",
 }
 #: Name endings of services.
-SERVICE_ENDINGS = "Service|Repository|Handler|Controller|Manager|Provider"
+SERVICE_ENDINGS = ["Service", "Controller", "Handler", "Repository", "Manager", "Processor"]
+#: Names of types that a compiler makes for top-level statements.
+COMPILER_GENERATED = ["AutoGeneratedProgram", "<Program>$"]
 #: Characters that count as one token.
 TOKEN_CHARS = 4
 
@@ -83,6 +87,11 @@ def error_and_log_counts(facts: DataFrame) -> DataFrame:
     )
 
 
+def compiler_generated(fqname: Column) -> Column:
+    """Whether a type was made by a compiler and is no part of the written surface."""
+    return reduce(lambda a, b: a | b, [F.coalesce(fqname.endswith(e), F.lit(False)) for e in COMPILER_GENERATED])
+
+
 def services(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Public service types outside test projects with their members: ``symbol_id, fqname, n_members,
     members``, member names joined in order."""
@@ -90,7 +99,8 @@ def services(symbols: DataFrame, files: DataFrame) -> DataFrame:
     types = symbols.where(
         F.col("kind").isin("class", "interface", "record")
         & (F.col("visibility") == "public")
-        & F.regexp_replace("fqname", "<.*$", "").rlike(f"(?i)(?:{SERVICE_ENDINGS})$")
+        & F.regexp_replace("fqname", "<.*$", "").rlike(f"(?i)(?:{'|'.join(SERVICE_ENDINGS)})$")
+        & ~compiler_generated(F.col("fqname"))
     ).join(own, [*KEY, "file_id"], "left_semi")
     members = (
         symbols.where(F.col("containing_type").isNotNull() & F.col("kind").isin("method", "property"))

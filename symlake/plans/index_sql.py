@@ -15,19 +15,17 @@ sym AS (
   FROM symbols)"""
 REF = f"""
 ref AS (
-  SELECT edge_seq, min(repo_id) AS repo_id, min(commit_sha) AS commit_sha,
-         min(nullif(from_symbol_id, '')) AS from_symbol_id, min(nullif(to_symbol_id, '')) AS to_symbol_id,
-         min(ref_kind) AS ref_kind, min(file_id) AS file_id, min(loc_start) AS loc_start,
-         min(lower(trim(coalesce(resolution_state, 'resolved')))) AS resolution_state,
-         min(nullif(to_name, '')) AS to_name, min(nullif(to_container_hint, '')) AS to_container_hint
-  FROM refs GROUP BY edge_seq)"""
+  SELECT edge_seq, {K}, nullif(from_symbol_id, '') AS from_symbol_id, nullif(to_symbol_id, '') AS to_symbol_id,
+         ref_kind, file_id, loc_start, lower(trim(coalesce(resolution_state, 'resolved'))) AS resolution_state,
+         nullif(to_name, '') AS to_name, nullif(to_container_hint, '') AS to_container_hint
+  FROM refs QUALIFY row_number() OVER (PARTITION BY edge_seq ORDER BY indexed_at DESC) = 1)"""
 FACT = f"""
 fact AS (SELECT DISTINCT fact_seq, {K}, symbol_id, fact_kind, value, nullif(file_id, '') AS file_id, confidence FROM facts)"""
 FILE = f"""
 file AS (
-  SELECT {K}, file_id, min(regexp_replace(replace(path, '\\', '/'), '^(\\./)+', '')) AS path,
-         min(lower(trim(sha256))) AS sha256, min(project_name) AS project_name, min(content) AS content
-  FROM files GROUP BY ALL)""".replace("GROUP BY ALL", f"GROUP BY {K}, file_id")
+  SELECT {K}, file_id, regexp_replace(replace(path, '\\', '/'), '^(\\./)+', '') AS path,
+         lower(trim(sha256)) AS sha256, project_name, content
+  FROM files QUALIFY row_number() OVER (PARTITION BY {K}, file_id ORDER BY content IS NULL, path, sha256, project_name NULLS FIRST, content) = 1)"""
 REL = f"""
 rel AS (
   SELECT DISTINCT {K}, type_symbol_id, CASE WHEN contains(r, '{{')
@@ -235,6 +233,19 @@ _FACT_KEY = (
     "THEN split_part(value, '|', 1) WHEN fact_kind = 'DiRegistration' THEN trim(split_part(value, '→', 1)) ELSE value END"
 )
 
+FACT_DIFF = f"""
+keyed AS (SELECT {K}, fact_kind, {_FACT_KEY} AS fact_key, min(value) AS value FROM fact GROUP BY ALL),
+old_fact AS (SELECT k.*, n.ord + 1 AS ord FROM keyed k JOIN snaps n USING (repo_id, commit_sha)
+      WHERE EXISTS (SELECT 1 FROM snaps m WHERE m.repo_id = k.repo_id AND m.ord = n.ord + 1)),
+new_fact AS (SELECT k.*, n.ord FROM keyed k JOIN snaps n USING (repo_id, commit_sha) WHERE n.ord > 1),
+fact_diff AS (SELECT * FROM (
+  SELECT coalesce(a.repo_id, b.repo_id) AS repo_id, CAST(coalesce(a.ord, b.ord) AS INT) AS ord,
+      coalesce(a.fact_kind, b.fact_kind) AS fact_kind, coalesce(a.fact_key, b.fact_key) AS fact_key,
+      a.value AS from_value, b.value AS to_value,
+      CASE WHEN b.value IS NULL THEN 'Removed' WHEN a.value IS NULL THEN 'Added' WHEN a.value <> b.value THEN 'Changed' END AS change_kind
+  FROM old_fact a FULL JOIN new_fact b ON a.repo_id = b.repo_id AND a.ord = b.ord AND a.fact_kind = b.fact_kind AND a.fact_key = b.fact_key)
+  WHERE change_kind IS NOT NULL)"""
+
 RETENTION = f"""{BASE},
 aged AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY created_at DESC, commit_sha) AS INT) AS age_rank FROM base),
@@ -297,8 +308,7 @@ LEFT JOIN note n ON n.repo_id = s.repo_id AND n.commit_sha = s.commit_sha AND n.
     "refs_outgoing": f"WITH {_find('from_symbol_id', 'to_symbol_id', 50, 'true')} SELECT * FROM found",
     "refs_excerpts": f"""WITH {_find('to_symbol_id', 'from_symbol_id', 10, 'true')}
 SELECT d.*, {_excerpt("string_split(content, chr(10))[loc_start]")} AS excerpt
-FROM found d JOIN file f ON f.repo_id = d.repo_id AND f.commit_sha = d.commit_sha AND f.path = d.path
-WHERE content IS NOT NULL""",
+FROM found d LEFT JOIN file f ON f.repo_id = d.repo_id AND f.commit_sha = d.commit_sha AND f.path = d.path AND content IS NOT NULL""",
     "refs_counts": f"WITH {REF} SELECT {K}, ref_kind, resolution_state, {_COUNTS} FROM ref GROUP BY {K}, ref_kind, resolution_state",
     "refs_unresolved": f"""WITH {REF}, {FILE}
 SELECT r.repo_id, r.commit_sha, edge_seq, from_symbol_id, to_name, to_container_hint, path, loc_start
@@ -407,17 +417,7 @@ SELECT {K}, symbol_id, file_id, span_start, span_end, path, first_line, CAST(fir
   count(*) FILTER (change_kind = 'Added') AS n_added, count(*) FILTER (change_kind = 'Removed') AS n_removed,
   count(*) FILTER (change_kind = 'Renamed') AS n_renamed, count(*) FILTER (change_kind = 'SignatureChanged') AS n_signaturechanged,
   count(*) FILTER (change_kind = 'VisibilityChanged') AS n_visibilitychanged FROM d GROUP BY repo_id, ord""",
-    "diff_facts": f"""WITH {SNAPSHOTS}, {FACT},
-k AS (SELECT {K}, fact_kind, {_FACT_KEY} AS fact_key, min(value) AS value FROM fact GROUP BY ALL),
-a AS (SELECT k.*, n.ord + 1 AS ord FROM k JOIN snaps n USING (repo_id, commit_sha)
-      WHERE EXISTS (SELECT 1 FROM snaps m WHERE m.repo_id = k.repo_id AND m.ord = n.ord + 1)),
-b AS (SELECT k.*, n.ord FROM k JOIN snaps n USING (repo_id, commit_sha) WHERE n.ord > 1),
-j AS (SELECT coalesce(a.repo_id, b.repo_id) AS repo_id, CAST(coalesce(a.ord, b.ord) AS INT) AS ord,
-      coalesce(a.fact_kind, b.fact_kind) AS fact_kind, coalesce(a.fact_key, b.fact_key) AS fact_key,
-      a.value AS from_value, b.value AS to_value,
-      CASE WHEN b.value IS NULL THEN 'Removed' WHEN a.value IS NULL THEN 'Added' WHEN a.value <> b.value THEN 'Changed' END AS change_kind
-      FROM a FULL JOIN b ON a.repo_id = b.repo_id AND a.ord = b.ord AND a.fact_kind = b.fact_kind AND a.fact_key = b.fact_key)
-SELECT * FROM j WHERE change_kind IS NOT NULL""",
+    "diff_facts": f"WITH {SNAPSHOTS}, {FACT}, {FACT_DIFF} SELECT * FROM fact_diff",
     "overlay_changes": f"WITH {OVERLAY} SELECT * FROM changed",
     "overlay_deleted": f"WITH {OVERLAY} SELECT * FROM deleted",
     "overlay_symbols": f"""WITH {OVERLAY}
@@ -470,7 +470,7 @@ SELECT s.repo_id, s.commit_sha, s.symbol_id, s.fqname, coalesce(n_members, 0) AS
 FROM sym s JOIN file f ON f.repo_id = s.repo_id AND f.commit_sha = s.commit_sha AND f.file_id = s.file_id
 LEFT JOIN m ON m.repo_id = s.repo_id AND m.commit_sha = s.commit_sha AND m.fqname = s.fqname
 WHERE kind IN ('class', 'interface', 'record') AND visibility = 'public'
-  AND regexp_matches(regexp_replace(s.fqname, '<.*$', ''), '(?i)(?:Service|Repository|Handler|Controller|Manager|Provider)$')
+  AND regexp_matches(regexp_replace(s.fqname, '<.*$', ''), '(?i)(service|controller|handler|repository|manager|processor)$')
   AND NOT regexp_matches(path, '\\.(?:Tests|Benchmarks|TestUtilities)/')""",
     "summary_export": f"""WITH {SECTIONS},
 b AS (SELECT {K}, section, CAST({_ORDER} AS INT) AS position,
@@ -521,10 +521,17 @@ GROUP BY s.repo_id, s.commit_sha, path""",
 SELECT query, {K}, CASE WHEN count(*) = 1 THEN '1 symbol' ELSE CAST(count(*) AS VARCHAR) || ' symbols' END || ' for ''' || query || '''' ||
   CASE WHEN bool_or(truncated) THEN ', more exist.' ELSE '.' END || ' Best: ' || arg_min(symbol_id, rank) AS answer
 FROM found GROUP BY query, {K}""",
-    "diff_rendered": f"""WITH {DIFF},
-l AS (SELECT repo_id, CAST(ord AS INT) AS ord, '- ' || change_kind || ': ' || coalesce(from_id || CASE WHEN to_id <> from_id THEN ' -> ' || to_id ELSE '' END, to_id) AS line FROM d),
-r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, ord ORDER BY line) AS rank, count(*) OVER (PARTITION BY repo_id, ord) AS n_changes FROM l)
-SELECT repo_id, ord, min(n_changes) AS n_changes, array_to_string(list(line ORDER BY rank), chr(10)) AS body FROM r WHERE rank <= 50 GROUP BY repo_id, ord""",
+    "diff_rendered": f"""WITH {DIFF}, {FACT}, {FACT_DIFF},
+told AS (
+  SELECT repo_id, CAST(ord AS INT) AS ord, 2 AS section,
+         '- ' || change_kind || ': ' || coalesce(from_id || CASE WHEN to_id <> from_id THEN ' -> ' || to_id ELSE '' END, to_id) AS line FROM d
+  UNION ALL
+  SELECT repo_id, ord, list_position(['Route', '', 'Config', 'DbTable', 'DiRegistration'], fact_kind), '- ' || change_kind || ' ' || fact_kind || ': ' ||
+         CASE WHEN fact_kind IN ('Config', 'DbTable') THEN split_part(coalesce(to_value, from_value), '|', 1) ELSE coalesce(to_value, from_value) END
+  FROM fact_diff WHERE fact_kind IN ('Route', 'Config', 'DbTable', 'DiRegistration')),
+placed AS (SELECT *, row_number() OVER (PARTITION BY repo_id, ord ORDER BY section, line) AS rank, count(*) OVER (PARTITION BY repo_id, ord) AS n_changes FROM told)
+SELECT repo_id, ord, CAST(ceil(rank / 1000) AS INT) AS part, min(n_changes) AS n_changes, array_to_string(list(line ORDER BY rank), chr(10)) AS body
+FROM placed GROUP BY repo_id, ord, CAST(ceil(rank / 1000) AS INT)""",
     "interface_callers": f"""WITH {SYM}, {REL}, {REF},
 m AS (SELECT {K}, symbol_id, 'T:' || regexp_extract(symbol_id, '^[A-Z]:(.*?)\\.[^.(]+(?:\\(.*)?$', 1) AS type_symbol_id,
       substr(symbol_id, 1, 2) AS k, regexp_extract(symbol_id, '^[A-Z]:.*?(\\.[^.(]+(?:\\(.*)?)$', 1) AS tail

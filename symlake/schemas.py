@@ -46,16 +46,18 @@ RELATIONS = {
 }
 
 #: Ordered vocabularies; where the worst wins, the later one is worse.
-SYMBOL_KINDS = (
-    "Class Struct Interface Enum Delegate Record Method Property Field Event Constructor Constant Indexer Operator"
-).split()
-REF_KINDS = "Call Read Write Instantiate Override Implementation".split()
-FACT_KINDS = (
-    "Route Config DbTable DiRegistration Middleware Exception Log RetryPolicy RazorInject RazorParameter"
-).split()
-CONFIDENCES = "High Medium Low".split()
-SEMANTIC_LEVELS = "Full Partial SyntaxOnly".split()
-VISIBILITIES = "Public Protected Internal ProtectedInternal PrivateProtected Private".split()
+SYMBOL_KINDS = [
+    "Class", "Struct", "Interface", "Enum", "Delegate", "Record", "Method", "Property", "Field", "Event", "Constructor",
+    "Constant", "Indexer", "Operator",
+]
+REF_KINDS = ["Call", "Read", "Write", "Instantiate", "Override", "Implementation"]
+FACT_KINDS = [
+    "Route", "Config", "DbTable", "DiRegistration", "Middleware", "Exception", "Log", "RetryPolicy", "RazorInject",
+    "RazorParameter",
+]
+CONFIDENCES = ["High", "Medium", "Low"]
+SEMANTIC_LEVELS = ["Full", "Partial", "SyntaxOnly"]
+VISIBILITIES = ["Public", "Protected", "Internal", "ProtectedInternal", "PrivateProtected", "Private"]
 
 
 class InvalidArgument(ValueError):
