@@ -1,4 +1,4 @@
-"""Queries of the source text extractors over all stored contents, and their SQL twins."""
+"""Queries of the source text extractors over all stored contents."""
 
 from __future__ import annotations
 
@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symlake.operators import extract as x
-from symlake.plans.index_sql import FILE, K
+from symlake.plans import extract_sql
 from symlake.session import table
 from symlake.sources import relations
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return relations.files(table(spark, d, "files"))
+    return relations.files(table(spark, d, "files"), ["path", "content"], "content is not null")
 
 
 def extract_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -60,137 +60,7 @@ def extract_sql_tables(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.explode(x.sql_tables(F.col("text"))).alias("table_name"))
 
 
-_LINES = f"""{FILE},
-line AS (SELECT {K}, file_id, path, unnest(regexp_split_to_array(content, '\\r\\n|\\r|\\n')) AS line,
-         unnest(range(1, len(regexp_split_to_array(content, '\\r\\n|\\r|\\n')) + 1)) AS n
-         FROM file WHERE content IS NOT NULL)"""
-
-
-def q(pattern: str) -> str:
-    return pattern.replace("'", "''")
-
-
-def _g(pattern: str, i: int) -> str:
-    return f"regexp_extract(line, '{q(pattern)}', {i})"
-
-
-def _declared(line: str) -> str:
-    cs, vb, fs = "lower(path) LIKE '%.cs'", "lower(path) LIKE '%.vb'", "(lower(path) LIKE '%.fs' OR lower(path) LIKE '%.fsx')"
-    m = lambda p: f"regexp_matches(line, '{q(p)}')"
-    vb_kind = f"lower({_g(x.VB_TYPE, 1)})"
-    left = "ltrim(line)"
-    fm = lambda w: f"regexp_matches({left}, '^{w}\\s+(\\w+)')"
-    fg = lambda w: f"regexp_extract({left}, '^{w}\\s+(\\w+)', 1)"
-    return f"""
-found AS (
-  SELECT *, CASE
-    WHEN {cs} AND {m(x.CS_TYPE)} THEN lower({_g(x.CS_TYPE, 1)}) WHEN {cs} AND {m(x.CS_PROPERTY)} THEN 'property'
-    WHEN {cs} AND {m(x.CS_METHOD)} THEN 'method'
-    WHEN {vb} AND {m(x.VB_TYPE)} THEN CASE {vb_kind} WHEN 'structure' THEN 'struct' WHEN 'module' THEN 'class' ELSE {vb_kind} END
-    WHEN {vb} AND {m(x.VB_METHOD)} THEN 'method' WHEN {fs} AND {fm('module')} THEN 'class'
-    WHEN {fs} AND {fm('type')} THEN CASE WHEN contains(line, 'interface') THEN 'interface' WHEN contains(line, 'struct') THEN 'struct' ELSE 'class' END
-    WHEN {fs} AND {fm('let')} THEN 'method' END AS kind,
-   CASE
-    WHEN {cs} AND {m(x.CS_TYPE)} THEN {_g(x.CS_TYPE, 2)} WHEN {cs} AND {m(x.CS_PROPERTY)} THEN {_g(x.CS_PROPERTY, 2)}
-    WHEN {cs} AND {m(x.CS_METHOD)} THEN {_g(x.CS_METHOD, 1)} WHEN {vb} AND {m(x.VB_TYPE)} THEN {_g(x.VB_TYPE, 2)}
-    WHEN {vb} AND {m(x.VB_METHOD)} THEN {_g(x.VB_METHOD, 1)} WHEN {fs} AND {fm('module')} THEN {fg('module')}
-    WHEN {fs} AND {fm('type')} THEN {fg('type')} WHEN {fs} AND {fm('let')} THEN {fg('let')} END AS name,
-   last_value(CASE WHEN {m(x.NAMESPACE)} THEN {_g(x.NAMESPACE, 1)} END IGNORE NULLS)
-     OVER (PARTITION BY {K}, file_id ORDER BY n) AS namespace
-  FROM {line})"""
-
-
-def _facts(lines: str = _LINES) -> str:
-    m = lambda p: f"regexp_matches(line, '{q(p)}')"
-    slash = lambda p: f"'/' || regexp_replace({p}, '^[/~]+', '')"
-    g = _g
-    rows = [
-        ("Route", x.ROUTE_ATTRIBUTE, f"upper({g(x.ROUTE_ATTRIBUTE, 1)}) || ' ' || {slash(g(x.ROUTE_ATTRIBUTE, 2))}", "High"),
-        ("Route", x.ROUTE_MAP, f"upper({g(x.ROUTE_MAP, 1)}) || ' ' || {slash(g(x.ROUTE_MAP, 2))}", "High"),
-        ("Route", x.PAGE, f"'PAGE ' || {slash(g(x.PAGE, 1))}", "High"),
-        *(("Config", p, f"{g(p, 1)} || '|{n}'", "High") for p, n in x.CONFIG),
-        ("DbTable", x.DB_SET, f"{g(x.DB_SET, 2)} || '|DbSet<' || {g(x.DB_SET, 1)} || '>'", "High"),
-        ("DbTable", x.TABLE_ATTRIBUTE, f"CASE WHEN {g(x.TABLE_ATTRIBUTE, 2)} <> '' THEN {g(x.TABLE_ATTRIBUTE, 2)} || '.' ELSE '' END || {g(x.TABLE_ATTRIBUTE, 1)} || '|[Table]'", "High"),
-        ("DiRegistration", x.REGISTRATION, f"{g(x.REGISTRATION, 2)} || ' → ' || CASE WHEN {g(x.REGISTRATION, 3)} <> '' THEN {g(x.REGISTRATION, 3)} ELSE {g(x.REGISTRATION, 2)} END || '|' || {g(x.REGISTRATION, 1)}", "High"),
-        ("DiRegistration", x.HOSTED, f"'IHostedService → ' || {g(x.HOSTED, 1)} || '|Singleton|HostedService'", "High"),
-        ("Exception", x.THROW, f"{g(x.THROW, 1)} || '|throw new'", "High"),
-        ("Exception", x.RETHROW, "'rethrow|re-throw'", "High"),
-        ("RazorInject", x.RAZOR_INJECT, f"{g(x.RAZOR_INJECT, 2)} || ': ' || {g(x.RAZOR_INJECT, 1)}", "High"),
-        ("RazorParameter", x.RAZOR_PARAMETER, f"{g(x.RAZOR_PARAMETER, 2)} || ': ' || {g(x.RAZOR_PARAMETER, 1)}", "High"),
-        ("Route", x.VB_ROUTE, f"upper({g(x.VB_ROUTE, 1)}) || ' ' || {slash(g(x.VB_ROUTE, 2))}", "High"),
-        ("DiRegistration", x.VB_REGISTRATION, f"{g(x.VB_REGISTRATION, 2)} || ' → ' || {g(x.VB_REGISTRATION, 3)} || '|' || {g(x.VB_REGISTRATION, 1)}", "High"),
-        ("Exception", x.VB_THROW, f"{g(x.VB_THROW, 1)} || '|throw new'", "High"),
-        ("DbTable", x.VB_DB_SET, f"{g(x.VB_DB_SET, 1)} || '|DbSet<' || {g(x.VB_DB_SET, 2)} || '>'", "High"),
-        ("Log", x.LOG, f"{g(x.LOG, 2)} || '|' || {g(x.LOG, 1)}", "High"),
-        ("RetryPolicy", x.RETRY, f"{g(x.RETRY, 1)} || CASE WHEN {g(x.RETRY, 2)} <> '' THEN ' ' || {g(x.RETRY, 2)} ELSE '' END || '|Polly'", "Medium"),
-    ]
-    plain = " UNION ALL ".join(
-        f"SELECT {K}, file_id, CAST(n AS INT) AS line, '{kind}' AS fact_kind, {value} AS value, '{c}' AS confidence FROM code WHERE {m(p)}"
-        for kind, p, value, c in rows
-    )
-    words = ", ".join(f"'{w}'" for w in x.SQL_WORDS)
-    schemas = ", ".join(f"'{w}'" for w in x.SQL_SCHEMAS)
-    name = r'(?i)\b(?:FROM|INTO|UPDATE|JOIN)\s+((?:[\[\"`]?\w+[\]\"`]?\.)?[\[\"`]?[A-Za-z_]\w*[\]\"`]?)'
-    strings = "regexp_replace(array_to_string(regexp_extract_all(line, '\"([^\"]*)\"', 1), ' '), '\\s+', ' ', 'g')"
-    names = f"list_distinct(list_transform(regexp_extract_all({strings}, '{q(name)}', 1), lambda n: regexp_replace(n, '[\\[\\]\"`]', '', 'g')))"
-    return f"""WITH {lines},
-code AS (SELECT * FROM line WHERE NOT regexp_matches(line, '^\\s*(?://|\\*|/\\*|'')')),
-raw AS (SELECT {K}, file_id, CAST(n AS INT) AS line, unnest({names}) AS t FROM code
-        WHERE regexp_matches(line, '(?i)"[^"]*\\b(?:FROM|INTO|UPDATE|JOIN)\\s+\\S')),
-pipe AS (SELECT {K}, file_id, CAST(n AS INT) AS line,
-         CASE WHEN {g(x.MIDDLEWARE, 2)} <> '' THEN {g(x.MIDDLEWARE, 2)} ELSE {g(x.MIDDLEWARE, 1)} END AS name,
-         row_number() OVER (PARTITION BY {K}, file_id ORDER BY n) AS pos FROM code WHERE {m(x.MIDDLEWARE)})
-{plain}
-UNION ALL SELECT {K}, file_id, line, 'DbTable', t || '|Raw SQL', 'Medium' FROM raw
-WHERE t <> '' AND lower(t) NOT IN ({words}) AND lower(split_part(t, '.', 1)) NOT IN ({schemas}) AND NOT starts_with(lower(t), 'sqlite_')
-UNION ALL SELECT {K}, file_id, line, 'Middleware', name || '|pos:' || CAST(pos AS VARCHAR) ||
-  CASE WHEN name IN ({', '.join(repr(t) for t in x.TERMINAL)}) THEN '|terminal' ELSE '' END, 'Medium' FROM pipe"""
-
-
-_CALL = r"((?:new\s+)?(?:[A-Za-z_]\w*\??\.)?[A-Za-z_]\w*)(?:<[^<>()]*>)?\("
-
-_DOCUMENT_LINES = """line AS (
-  SELECT 'documents' AS repo_id, '' AS commit_sha, CAST(doc_id AS VARCHAR) AS file_id,
-         CAST(doc_id AS VARCHAR) || '.' || CASE lower(lang) WHEN 'csharp' THEN 'cs' WHEN 'vb' THEN 'vb' WHEN 'fsharp' THEN 'fs' WHEN 'sql' THEN 'sql' ELSE 'txt' END AS path,
-         unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) AS line,
-         unnest(range(1, len(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) + 1)) AS n
-  FROM documents WHERE text IS NOT NULL)"""
-
-SQL = {
-    "extract_document_facts": f"""SELECT fact_kind, count(*) AS n_facts, count(DISTINCT file_id) AS n_documents
-FROM ({_facts(_DOCUMENT_LINES)}) GROUP BY fact_kind""",
-    "extract_facts": _facts(),
-    "extract_symbols": f"""WITH {_LINES}, {_declared('line')}
-SELECT {K}, file_id, CAST(n AS INT) AS line, kind, name, namespace, 'Low' AS confidence FROM found WHERE kind IS NOT NULL""",
-    "extract_document_symbols": f"""WITH {_DOCUMENT_LINES}, {_declared('line')}
-SELECT file_id, CAST(n AS INT) AS line, kind, name, namespace FROM found WHERE kind IS NOT NULL""",
-    "extract_relations": f"""WITH {_LINES},
-h AS (SELECT {K}, file_id, {_g(x.CS_TYPE, 2)} AS type_name,
-      regexp_split_to_array(regexp_replace({_g(x.BASES, 1)}, '\\s*where\\b.*$|<[^>]*>|\\([^)]*\\)', '', 'g'), '\\s*,\\s*') AS names
-      FROM line WHERE regexp_matches(line, '{q(x.CS_TYPE)}') AND regexp_matches(line, '{q(x.BASES)}')),
-r AS (SELECT {K}, file_id, type_name, unnest(names) AS related, unnest(range(0, len(names))) AS place FROM h)
-SELECT {K}, file_id, type_name, trim(related) AS related_name,
-       CASE WHEN place > 0 OR regexp_matches(trim(related), '^(?:\\w+\\.)*I[A-Z]') THEN 'Interface' ELSE 'BaseType' END AS relation_kind
-FROM r WHERE trim(related) <> ''""",
-    "extract_calls": f"""WITH {_LINES},
-c AS (SELECT {K}, file_id, n, unnest(regexp_extract_all(regexp_replace(line, '"(?:[^"\\\\]|\\\\.)*"', '""', 'g'), '{q(_CALL)}', 1)) AS call
-      FROM line WHERE regexp_matches(path, '(?i)\\.cs$') AND NOT regexp_matches(line, '^\\s*(?://|\\*|/\\*|\\[)')
-        AND NOT regexp_matches(line, '{q(x.CS_METHOD)}') AND NOT regexp_matches(line, '{q(x.CS_TYPE)}'))
-SELECT {K}, file_id, CAST(n AS INT) AS line, CASE WHEN regexp_matches(call, '^new\\s') THEN 'Instantiate' ELSE 'Call' END AS ref_kind,
-       regexp_extract(call, '(\\w+)$', 1) AS to_name,
-       CASE WHEN contains(call, '.') THEN regexp_extract(call, '(\\w+)\\??\\.\\w+$', 1) END AS to_container_hint,
-       'unresolved' AS resolution_state
-FROM c WHERE regexp_extract(call, '(\\w+)$', 1) NOT IN ({', '.join(repr(w) for w in x.NO_CALLS)})""",
-    "extract_sql_tables": f"""WITH t AS (
-  SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '\\s+', ' ', 'g'),
-    '{q(r'(?i)\b(?:FROM|INTO|UPDATE|JOIN)\s+((?:[\[\"`]?\w+[\]\"`]?\.)?[\[\"`]?[A-Za-z_]\w*[\]\"`]?)')}', 1),
-    lambda n: regexp_replace(n, '[\\[\\]"`]', '', 'g')))) AS table_name
-  FROM documents WHERE lower(lang) = 'sql')
-SELECT * FROM t WHERE table_name <> '' AND lower(table_name) NOT IN ({', '.join(f"'{w}'" for w in x.SQL_WORDS)})
-  AND lower(split_part(table_name, '.', 1)) NOT IN ({', '.join(f"'{w}'" for w in x.SQL_SCHEMAS)})
-  AND NOT starts_with(lower(table_name), 'sqlite_')""",
-}
-
+SQL = extract_sql.SQL
 QUERIES = {
     f.__name__: f
     for f in (

@@ -319,16 +319,21 @@ def test_structural_ids_survive_renames(spark):
 
 
 SOURCE = '''namespace Shop.Api;
-[HttpGet("orders/{id}")]
+[Route("api/[controller]")]
 public class OrderController : ControllerBase, IOrders
 {
     public DbSet<Order> Orders { get; set; }
+    [HttpGet("{id}")]
     public async Task<Order> Get(int id)
     {
-        var x = config["Db:Name"];
-        services.AddScoped<IStore, Store>();
-        app.UseRouting(); 
-        app.Run(h);
+        var x = config["Db:Name"] ?? throw new Missing(); var y = config["Db:Port"];
+        services.AddScoped<IStore, Store>().TryAddSingleton<IClock>(sp => new Clock());
+        services.AddSingleton(sp => new Bus()); services.AddSingleton<ICache>(new Cache()); services.AddHostedService<Worker>();
+        services.Configure<Mail>(config.GetSection("Mail")); var z = config.GetSection("Log");
+        app.UseRouting(); app.MapGet("/ping", P); app.MapHub<H>("/h");
+        _log.Log(LogLevel.Debug, "lvl"); _log.LogWarning(ex, "no literal first");
+        p.WaitAndRetryAsync(3, i => i); q.AddCircuitBreaker(); r.AddRetry(o);
+        try { } catch (IOException e) { throw; }
         _log.LogError("no {Id}", id);
         await db.Query("SELECT * FROM dbo.Orders o JOIN sys.tables t");
         throw new NotFoundException(nameof(id));
@@ -339,14 +344,20 @@ public class OrderController : ControllerBase, IOrders
 
 
 def test_extraction_from_source(spark):
-    files = relations.files(h.files(spark, [{"file_id": "f1", "path": "src/A.cs", "content": SOURCE}, {"file_id": "f2", "path": "b.fs", "content": "namespace My.Fs\nmodule Util\nlet add a b = a + b\ntype Shape = struct"}, {"file_id": "f3", "path": "c.vb", "content": None}]))
+    files = relations.files(h.files(spark, [{"file_id": "f1", "path": "src/A.cs", "content": SOURCE}, {"file_id": "f2", "path": "b.fs", "content": "namespace My.Fs\nmodule rec Util\nlet inline add a b = a + b\n[<Struct>] type Shape = { X: int }\nand IDraw = interface\ntype Constructor() =\n  member _.Build x = x"}, {"file_id": "f3", "path": "c.vb", "content": None}]))
     got = {(r["fact_kind"], r["value"]) for r in extract.extract_facts(files).collect()}
     assert got == {
-        ("Route", "GET /orders/{id}"), ("DbTable", "Orders|DbSet<Order>"), ("Config", "Db:Name|indexer"), ("DiRegistration", "IStore → Store|Scoped"),
-        ("Middleware", "UseRouting|pos:1"), ("Middleware", "Run|pos:2|terminal"), ("Log", "no {Id}|Error"), ("DbTable", "dbo.Orders|Raw SQL"), ("Exception", "NotFoundException|throw new"),
+        ("Route", "GET /api/order/{id}"), ("Route", "GET /ping"), ("DbTable", "Orders|DbSet<Order>"),
+        ("Config", "Db:Name|IConfiguration indexer"), ("Config", "Db:Port|IConfiguration indexer"), ("Config", "Mail|Options Configure"), ("Config", "Log|GetSection"),
+        ("DiRegistration", "IStore → Store|Scoped"), ("DiRegistration", "IClock → factory|Singleton"), ("DiRegistration", "Bus → factory|Singleton"),
+        ("DiRegistration", "ICache → Cache|Singleton"), ("DiRegistration", "Worker → Worker|Singleton|HostedService"),
+        ("Middleware", "UseRouting|pos:1"), ("Middleware", "MapHub|pos:2|terminal"), ("Log", "no {Id}|Error"), ("Log", "lvl|Debug"),
+        ("RetryPolicy", "WaitAndRetryAsync(3)|Polly"), ("RetryPolicy", "CircuitBreaker|Resilience"), ("RetryPolicy", "AddRetry|Resilience"),
+        ("DbTable", "dbo.Orders|Raw SQL"), ("Exception", "NotFoundException|throw new (nameof guard)"), ("Exception", "Missing|throw expression"),
+        ("Exception", "IOException|re-throw"),
     }
     names_ = {(r["kind"], r["name"], r["namespace"]) for r in extract.extract_symbols(files).collect()}
-    assert {("class", "OrderController", "Shop.Api"), ("property", "Orders", "Shop.Api"), ("method", "Get", "Shop.Api"), ("class", "Util", "My.Fs"), ("method", "add", "My.Fs"), ("struct", "Shape", "My.Fs")} == names_
+    assert {("class", "OrderController", "Shop.Api"), ("property", "Orders", "Shop.Api"), ("method", "Get", "Shop.Api"), ("class", "Util", "My.Fs"), ("method", "add", "My.Fs"), ("struct", "Shape", "My.Fs"), ("interface", "IDraw", "My.Fs"), ("class", "Constructor", "My.Fs"), ("method", "Build", "My.Fs")} == names_
     assert {(r["related_name"], r["relation_kind"]) for r in extract.extract_relations(files).collect()} == {("ControllerBase", "BaseType"), ("IOrders", "Interface")}
     calls = {(r["ref_kind"], r["to_name"], r["to_container_hint"]) for r in extract.extract_calls(files).collect()}
     assert {("Call", "UseRouting", "app"), ("Instantiate", "NotFoundException", None), ("Call", "Query", "db")} <= calls
@@ -394,7 +405,7 @@ def test_callers_follow_interfaces(spark):
 
 
 def test_routes_combine(spark):
-    cases = [("api/[controller]", "{id}", "OrdersController", "/api/orders/{id}"), ("api", "/root", "XController", "/root"), (None, "~/x", "XController", "/x"), ("api/", None, "X", "/api")]
+    cases = [("api/[controller]", "{id}", "OrdersController", "/api/orders/{id}"), ("api", "/root", "XController", "/api/root"), (None, "/x", "XController", "/x"), ("api/", None, "X", "/api"), ("", "a", "X", "/a"), ("[Controller]", None, "AbController", "/ab")]
     df = spark.createDataFrame(cases, "prefix string, action string, controller string, want string")
     assert df.where(extract.combined_route(F.col("prefix"), F.col("action"), F.col("controller")) != F.col("want")).isEmpty()
 
