@@ -98,6 +98,13 @@ def language_of(path: Column) -> Column:
     return out
 
 
+def display_fqname(symbol_id: Column, language: Column) -> Column:
+    """A documentation-comment id as a full name from the global namespace, in the spelling of the
+    file's language."""
+    body = F.regexp_replace(symbol_id, r"^[A-Z]:", "")
+    return F.when(symbol_id == "", "").otherwise(F.concat(F.when(language == "vb", "Global.").otherwise("global::"), body))
+
+
 def is_test_path(path: Column) -> Column:
     """Whether a path lies in a test, benchmark or test utility project."""
     return path.rlike(r"\.(?:Tests|Benchmarks|TestUtilities)/")

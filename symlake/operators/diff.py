@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symlake.functions.facts import diff_key
 from symlake.sources.relations import KEY
 
-#: Facts of a kind that a snapshot's diff loads, by value.
+#: Fixed value: facts of a kind and snapshot that a requested difference looks at.
 FACTS_PER_KIND = 500
 
 
@@ -81,9 +81,30 @@ def symbol_diff(symbols: DataFrame, snapshots: DataFrame) -> DataFrame:
     return both.unionByName(rest).where("change_kind is not null")
 
 
-def fact_diff(facts: DataFrame, snapshots: DataFrame) -> DataFrame:
+def between(spark: SparkSession, repo_id: str, from_sha: str, to_sha: str) -> DataFrame:
+    """Two commits of a repository as its only snapshots, for a difference of any two of them."""
+    return spark.createDataFrame([(repo_id, from_sha, 1), (repo_id, to_sha, 2)], "repo_id string, commit_sha string, ord int")
+
+
+def require_unique(symbols: DataFrame) -> DataFrame:
+    """``symbols``, of which no two of a snapshot share a stable id; a job over others fails."""
+    alone = F.count("*").over(Window.partitionBy(*KEY, "stable_id")) == 1
+    clash = F.concat(F.lit("stable id twice in a snapshot: "), F.col("stable_id"))
+    return symbols.withColumn("_ok", F.when(F.col("stable_id").isNull() | alone, True).otherwise(F.raise_error(clash))).where("_ok").drop("_ok")
+
+
+def of_kinds(changes: DataFrame, kinds: list[str] | None) -> DataFrame:
+    """Changes of symbols of some kinds, in any case; all without any."""
+    return changes.where(F.col("kind").isin([k.lower() for k in kinds])) if kinds else changes
+
+
+def fact_diff(facts: DataFrame, snapshots: DataFrame, per_kind: int | None = None) -> DataFrame:
     """Changes of facts by their key: ``repo_id, ord, fact_kind, fact_key, change_kind, from_value,
-    to_value``; of facts with one key the least value counts."""
+    to_value``; of facts with one key the least value counts. ``per_kind`` is how many facts of a
+    kind and snapshot are looked at, by value; all without it."""
+    if per_kind is not None:
+        place = F.row_number().over(Window.partitionBy(*KEY, "fact_kind").orderBy("value", "fact_seq"))
+        facts = facts.withColumn("_rank", place).where(F.col("_rank") <= per_kind)
     keyed = facts.select(*KEY, "fact_kind", diff_key(F.col("fact_kind"), F.col("value")).alias("fact_key"), "value")
     once = keyed.groupBy(*KEY, "fact_kind", "fact_key").agg(F.min("value").alias("value"))
     old, new = _pairs(once, snapshots, ["fact_kind", "fact_key", "value"])
@@ -98,10 +119,23 @@ def fact_diff(facts: DataFrame, snapshots: DataFrame) -> DataFrame:
     ).where("change_kind is not null")
 
 
-def diff_statistics(symbols: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Changes per pair and kind of change, one column each."""
+def diff_statistics(symbols: DataFrame, snapshots: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Changes per pair and kind of change, one column each; with ``facts`` also those of routes,
+    config keys, tables and registrations as ``n_<kind>_<change>``."""
     found = symbol_diff(symbols, snapshots)
     kinds = ["Added", "Removed", "Renamed", "SignatureChanged", "VisibilityChanged"]
-    return found.groupBy("repo_id", "ord").agg(
+    counted = found.groupBy("repo_id", "ord").agg(
         *(F.count_if(F.col("change_kind") == k).alias(f"n_{k.lower()}") for k in kinds)
     )
+    if facts is None:
+        return counted
+    told = fact_diff(facts, snapshots).groupBy("repo_id", "ord").agg(
+        *(
+            F.count_if((F.col("fact_kind") == kind) & (F.col("change_kind") == change)).alias(f"n_{kind.lower()}_{change.lower()}")
+            for kind in ("Route", "Config", "DbTable", "DiRegistration")
+            for change in ("Added", "Removed", "Changed")
+        )
+    )
+    both = counted.join(told, ["repo_id", "ord"], "full")
+    names = [c for c in both.columns if c not in ("repo_id", "ord")]
+    return both.select("repo_id", "ord", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))

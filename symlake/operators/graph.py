@@ -165,6 +165,26 @@ def type_hierarchy(type_relations: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
+def derived_types(type_relations: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Types directly below each type: ``repo_id, commit_sha, symbol_id, derived_id, relation_kind,
+    display_name``, one row each, so that no type's list is gathered; the name is the symbol's
+    full name, else what the relation says of it, else the id's."""
+    rows = type_relations.select(
+        *KEY, F.col("related_symbol_id").alias("symbol_id"), F.col("type_symbol_id").alias("derived_id"), "relation_kind"
+    ).distinct()
+    names = symbols.select(*KEY, F.col("symbol_id").alias("derived_id"), "fqname")
+    return rows.join(names, [*KEY, "derived_id"], "left").select(
+        *KEY, "symbol_id", "derived_id", "relation_kind", F.coalesce("fqname", F.regexp_replace("derived_id", "^[A-Z]:", "")).alias("display_name")
+    )
+
+
+def has_edge(pairs: DataFrame, refs: DataFrame) -> DataFrame:
+    """``pairs`` (keys, from_symbol_id, to_symbol_id) with ``has_edge``: any reference between them."""
+    ends = [*KEY, "from_symbol_id", "to_symbol_id"]
+    known = refs.join(pairs.select(*ends).distinct(), ends, "left_semi").select(*ends).distinct().withColumn("has_edge", F.lit(True))
+    return pairs.join(known, ends, "left").withColumn("has_edge", F.coalesce("has_edge", F.lit(False)))
+
+
 def interface_members(symbols: DataFrame, type_relations: DataFrame) -> DataFrame:
     """Members of interfaces that members of implementing types stand for: ``symbol_id,
     interface_member``.

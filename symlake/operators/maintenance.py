@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from symlake.sources.relations import KEY
 
@@ -31,6 +32,11 @@ def retention(baselines: DataFrame, keep: int = 5, older_than: str | None = None
     )
 
 
+def by_age() -> WindowSpec:
+    """The order of a repository's baselines, the oldest first."""
+    return Window.partitionBy("repo_id").orderBy("created_at", "commit_sha")
+
+
 def reclaimed(baselines: DataFrame, keep: int = 5) -> DataFrame:
     """Baselines and bytes per repository and verdict of :func:`retention`."""
     return retention(baselines, keep).groupBy("repo_id", "verdict").agg(

@@ -68,20 +68,42 @@ def merged_type_relations(base: DataFrame, over: Overlay) -> DataFrame:
     )
 
 
+def merged_callees(base: DataFrame, over: Overlay) -> DataFrame:
+    """References to follow downwards in a workspace: its own, and those of the baseline only in
+    snapshots of which it changes no file at all, whose targets live. The cautious rule: what a
+    changed file calls now is not known from what it called before."""
+    touched = over.files.select(*KEY).distinct()
+    gone = over.deleted.select(*KEY, F.col("symbol_id").alias("to_symbol_id"))
+    own = over.refs.withColumn("side", F.lit("overlay"))
+    kept = base.join(touched, KEY, "left_anti").withColumn("side", F.lit("baseline"))
+    return own.unionByName(kept).join(gone, [*KEY, "to_symbol_id"], "left_anti").select(own.columns)
+
+
+def merged_card_facts(base: DataFrame, over: Overlay) -> DataFrame:
+    """Facts shown on cards: of a symbol with facts in the overlay those alone, else the baseline's."""
+    mine = over.facts.select(*KEY, "symbol_id").distinct()
+    kept = base.join(mine, [*KEY, "symbol_id"], "left_anti")
+    return over.facts.withColumn("side", F.lit("overlay")).unionByName(kept.withColumn("side", F.lit("baseline")))
+
+
 def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Changes of files between two states keyed alike: ``file_id, change_kind`` of Added,
-    Deleted, Renamed (path) and Modified (content)."""
-    cols = ["path", "sha256"]
-    a = before.select(*KEY, "file_id", *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = after.select(*KEY, "file_id", *(F.col(c).alias(f"b_{c}") for c in cols))
+    Deleted, Renamed (another path, whatever the content) and Modified (the same path with other
+    content)."""
+    side = lambda df, p: df.select(
+        *KEY, "file_id", F.lit(True).alias(p), F.col("path").alias(f"{p}_path"), F.col("sha256").alias(f"{p}_sha256")
+    )
+    moved = ~F.col("a_path").eqNullSafe(F.col("b_path"))
+    written = ~F.col("a_sha256").eqNullSafe(F.col("b_sha256"))
     kind = (
-        F.when(F.col("a_path").isNull(), "Added")
-        .when(F.col("b_path").isNull(), "Deleted")
-        .when(F.col("a_path") != F.col("b_path"), "Renamed")
-        .when(F.col("a_sha256") != F.col("b_sha256"), "Modified")
+        F.when(F.col("a").isNull(), "Added")
+        .when(F.col("b").isNull(), "Deleted")
+        .when(moved, "Renamed")
+        .when(written, "Modified")
     )
     return (
-        a.join(b, [*KEY, "file_id"], "full")
+        side(before, "a")
+        .join(side(after, "b"), [*KEY, "file_id"], "full")
         .withColumn("change_kind", kind)
         .where("change_kind is not null")
         .select(*KEY, "file_id", "change_kind")
@@ -98,6 +120,15 @@ def latest_state(log: DataFrame) -> DataFrame:
     return last.where("op = 'upsert'").drop("op")
 
 
+def latest_rows(log: DataFrame, key: list[str]) -> DataFrame:
+    """Live rows of an append log of any relation by revision: of each workspace and ``key`` the row
+    of the last revision, unless that was a ``delete``; ties of a revision go to the upsert."""
+    own = ["workspace_id", *key]
+    rest = [c for c in log.columns if c not in own]
+    last = log.groupBy(*own).agg(F.max_by(F.struct(*rest), F.struct("revision", F.col("op") == "upsert")).alias("row"))
+    return last.where("row.op = 'upsert'").select(*own, *(F.col(f"row.{c}") for c in rest if c != "op"))
+
+
 def phased_changes(changes: DataFrame) -> DataFrame:
     """One change per path from (path, change_kind, phase): the later phase overrides."""
     order = Window.partitionBy(*KEY, "path").orderBy(F.desc("phase"), "change_kind")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from symlake.functions.names import display_name, index_tokens, name_tokens, query_tokens, sanitize_query
+from symlake.functions.names import display_name, index_tokens, is_test_path, name_tokens, query_tokens, sanitize_query
 from symlake.schemas import InvalidArgument
 from symlake.sources.relations import KEY
 
+#: Schema of the stored token index.
+POSTINGS = T.StructType([T.StructField(n, T.StringType()) for n in (*KEY, "token", "symbol_id")])
+
 #: Index tokens that a prefix of one character stands for at most, in ordinal order.
 ONE_CHAR_TOKENS = 50
 
@@ -84,6 +89,52 @@ def may_match(queries: list[str]) -> Column:
     )
 
 
+def candidates(index: DataFrame, queries: list[str]) -> DataFrame:
+    """Symbols that the stored token index leads to: ``repo_id, commit_sha, symbol_id``, those with a
+    token for every token of any query. Prefixes reach the scan of the sorted index."""
+    asked = _asked(queries)
+    prefixes = sorted({t for _, _, tokens in asked for t in tokens})
+    met = index.where(reduce(lambda a, b: a | b, [F.col("token").startswith(p) for p in prefixes]))
+    flags = [F.max(F.col("token").startswith(p)).alias(f"p{i}") for i, p in enumerate(prefixes)]
+    whole = reduce(
+        lambda a, b: a | b,
+        [reduce(lambda a, b: a & b, [F.col(f"p{prefixes.index(t)}") for t in tokens]) for _, _, tokens in asked],
+    )
+    return met.groupBy(*KEY, "symbol_id").agg(*flags).where(whole).select(*KEY, "symbol_id")
+
+
+def narrowed(
+    symbols: DataFrame,
+    files: DataFrame | None = None,
+    file_path: str | None = None,
+    project: str | None = None,
+    virtual: list[str] | None = None,
+    decompiled: bool = True,
+    tests: bool = True,
+) -> DataFrame:
+    """``symbols`` by where they are written, before any limit.
+
+    ``file_path`` is a prefix and ``project`` a name, both in any case; ``virtual`` are the only
+    paths that count; without ``decompiled`` and ``tests`` symbols of decompiled libraries and of
+    test projects are left out. What looks at files needs ``files``; symbols of unknown files
+    then do not count.
+    """
+    rows = symbols if decompiled else symbols.where(F.coalesce(F.col("is_decompiled"), F.lit(0)) == 0)
+    if file_path is None and project is None and virtual is None and tests:
+        return rows
+    if files is None:
+        raise InvalidArgument("files are required to narrow by path or project")
+    if file_path is not None:
+        files = files.where(F.lower("path").startswith(file_path.lower()))
+    if project is not None:
+        files = files.where(F.lower("project_name") == project.lower())
+    if virtual is not None:
+        files = files.where(F.lower("path").isin([p.lower() for p in virtual]))
+    if not tests:
+        files = files.where(~F.coalesce(is_test_path(F.col("path")), F.lit(False)))
+    return rows.join(files.select(*KEY, "file_id"), [*KEY, "file_id"], "left_semi")
+
+
 def search(
     symbols: DataFrame,
     queries: list[str],
@@ -167,6 +218,18 @@ def resolve_names(symbols: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+def suggestions(symbols: DataFrame, names: list[str]) -> DataFrame:
+    """For names that nothing was found by: the three best symbols of their simple name, ``query,
+    repo_id, commit_sha, symbol_id, rank``."""
+    simple = {n: re.sub(r"\(.*$", "", n).rpartition(".")[2] or n for n in names}
+    asked = sorted({s for s in simple.values() if query_tokens(sanitize_query(s))})
+    if not asked:
+        raise InvalidArgument("empty query")
+    pairs = symbols.sparkSession.createDataFrame([(n, s) for n, s in simple.items()], "name string, query string")
+    hits = search(symbols, asked, limit=3).join(pairs, "query")
+    return hits.select(F.col("name").alias("query"), *KEY, "symbol_id", "rank")
+
+
 def browse(symbols: DataFrame, kinds: list[str], limit: int = 50) -> DataFrame:
     """Symbols of some kinds in each snapshot, by full name: ``repo_id, commit_sha, symbol_id,
     kind, rank``; without kinds :class:`InvalidArgument`."""

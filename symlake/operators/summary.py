@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from symlake.functions import facts as parse
 from symlake.functions.names import is_test_path, short_name
+from symlake.schemas import SEMANTIC_LEVELS
 from symlake.sources.relations import KEY
 
 #: Title and order of the sections of a summary, by kind of fact.
@@ -60,6 +61,42 @@ def semantic_levels(refs: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def worst_level(*levels: Column) -> Column:
+    """The worst of some semantic levels; nulls do not count."""
+    known = F.array(*(F.lit(x) for x in SEMANTIC_LEVELS))
+    places = [F.when(F.array_position(known, x) > 0, F.array_position(known, x)) for x in levels]
+    worst = F.greatest(*places) if len(places) > 1 else places[0]
+    return F.try_element_at(known, worst.cast("int"))
+
+
+def data_tables(facts: DataFrame) -> DataFrame:
+    """Tables of the data section of each snapshot, names in any case once: ``table_name, value``, the
+    first by value."""
+    name = F.trim(F.substring_index("value", "|", 1))
+    rows = facts.where("fact_kind = 'DbTable'").withColumn("name", name)
+    return rows.groupBy(*KEY, F.lower("name").alias("key")).agg(
+        F.min_by("name", F.struct("value", "fact_seq")).alias("table_name"), F.min("value").alias("value")
+    ).drop("key")
+
+
+def public_types(symbols: DataFrame, files: DataFrame, members: bool = True) -> DataFrame:
+    """The written surface of each snapshot: public types outside test projects, and with
+    ``members`` their public methods and properties: ``repo_id, commit_sha, type_name, symbol_id,
+    kind, signature``; rows of a type itself have its own id. Types made by a compiler are left
+    out."""
+    own = files.where(~is_test_path(F.col("path"))).select(*KEY, "file_id")
+    open_ = symbols.where(F.col("visibility") == "public").join(own, [*KEY, "file_id"], "left_semi")
+    types = open_.where(
+        F.col("kind").isin("class", "struct", "interface", "record", "enum", "delegate") & ~compiler_generated(F.col("fqname"))
+    ).select(*KEY, F.col("fqname").alias("type_name"), "symbol_id", "kind", "signature")
+    if not members:
+        return types
+    below = open_.where(F.col("kind").isin("method", "property")).select(
+        *KEY, F.col("containing_type").alias("type_name"), "symbol_id", "kind", "signature"
+    )
+    return types.unionByName(below.join(types.select(*KEY, "type_name").distinct(), [*KEY, "type_name"], "left_semi"))
+
+
 def sections(facts: DataFrame, limit: int = 50) -> DataFrame:
     """Items of each section of each snapshot by value, the first ``limit``: ``section, rank, item,
     symbol_name, n_items`` with n_items counting all."""
@@ -120,14 +157,17 @@ def tokens_of(text: Column) -> Column:
     return F.floor(F.length(text) / TOKEN_CHARS).cast("long")
 
 
-def export(facts: DataFrame, max_tokens: int = 4_000, limit: int = 50) -> DataFrame:
+def export(facts: DataFrame, max_tokens: int = 4_000, limit: int = 50, titles: list[str] | None = None) -> DataFrame:
     """Sections rendered as text within a token budget per snapshot: ``section, position, tokens,
     running_tokens, fits, body``.
 
     Sections come in the order of :data:`SECTIONS`; one fits while the running sum stays in
-    the budget, the first that does not is cut at its last line, later ones are left out.
+    the budget, the first that does not is cut at its last line, later ones are left out. Only
+    ``titles`` if given.
     """
     items = sections(facts, limit)
+    if titles:
+        items = items.where(F.col("section").isin(titles))
     place = F.array_position(F.array(*(F.lit(t) for t in SECTIONS.values())), F.col("section")).cast("int")
     body = (
         items.groupBy(*KEY, "section")

@@ -62,12 +62,13 @@ def config_keys(facts: DataFrame, limit: int = 50, prefix: str | None = None) ->
     return rows.where(F.lower("key").startswith(prefix.lower())) if prefix else rows
 
 
-def db_tables(facts: DataFrame) -> DataFrame:
+def db_tables(facts: DataFrame, table: str | None = None, limit: int | None = None) -> DataFrame:
     """Tables of each snapshot, names in any case as one: ``schema_name, table_name, entity,
     n_referrers, confidence``.
 
     The first fact by value gives the spelling and whether the table is an entity set, whose
-    first referrer is the entity; the worst confidence holds.
+    first referrer is the entity; the worst confidence holds. ``limit`` keeps the first tables
+    by name; ``table``, a prefix in any case of the table's name, then picks among them.
     """
     rows = facts.where("fact_kind = 'DbTable'").select(
         *KEY,
@@ -84,6 +85,11 @@ def db_tables(facts: DataFrame) -> DataFrame:
         F.count_distinct("symbol_id").alias("n_referrers"),
         worst().alias("confidence"),
     )
+    if limit is not None:
+        order = Window.partitionBy(*KEY).orderBy("table_key")
+        grouped = grouped.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit)
+    if table is not None:
+        grouped = grouped.where(F.lower(parse.table_name(F.col("name"))).startswith(table.lower()))
     return grouped.select(
         *KEY,
         parse.table_schema(F.col("name")).alias("schema_name"),

@@ -56,11 +56,14 @@ def search_text(
     )
 
 
-def spans(requests: DataFrame, files: DataFrame, context: int = 0, max_lines: int = 120) -> DataFrame:
+def spans(
+    requests: DataFrame, files: DataFrame, context: int = 0, max_lines: int = 120, max_chars: int | None = None
+) -> DataFrame:
     """Numbered source lines of requested places: ``requests`` with keys, file_id, span_start and
     span_end; adds first_line, last_line, n_lines, truncated and code.
 
-    Lines count from 1, ``context`` more on both sides, at most ``max_lines`` (capped at 400).
+    Lines count from 1, ``context`` more on both sides, at most ``max_lines`` (capped at 400) and
+    ``max_chars`` characters of the numbered text; a cut by either sets truncated.
     """
     max_lines = min(max_lines, MAX_LINES)
     texts = files.where(F.col("content").isNotNull()).select(*KEY, "file_id", "path", "content")
@@ -73,23 +76,27 @@ def spans(requests: DataFrame, files: DataFrame, context: int = 0, max_lines: in
         F.slice(lines, first, count),
         lambda x, i: F.concat(F.lpad((first + i).cast("string"), 5, " "), F.lit(" | "), F.rtrim(F.regexp_replace(x, "\r", ""))),
     )
+    code = F.array_join(numbered, "\n")
+    long_ = F.length(code) > max_chars if max_chars is not None else F.lit(False)
     return requests.join(texts, [*KEY, "file_id"]).select(
         *(c for c in requests.columns),
         "path",
         first.alias("first_line"),
         (first + count - 1).alias("last_line"),
         total.alias("n_lines"),
-        (last - first + 1 > max_lines).alias("truncated"),
-        F.array_join(numbered, "\n").alias("code"),
+        ((last - first + 1 > max_lines) | long_).alias("truncated"),
+        (code if max_chars is None else F.substring(code, 1, max_chars)).alias("code"),
     )
 
 
-def definitions(symbols: DataFrame, files: DataFrame, context: int = 2, max_lines: int = 120) -> DataFrame:
+def definitions(
+    symbols: DataFrame, files: DataFrame, context: int = 2, max_lines: int = 120, max_chars: int | None = None
+) -> DataFrame:
     """Definition span of every symbol whose file has content."""
     asked = symbols.select(*KEY, "symbol_id", "file_id", "span_start", "span_end").where(
         "span_start is not null and span_end >= span_start and span_start > 0"
     )
-    return spans(asked, files, context, max_lines)
+    return spans(asked, files, context, max_lines, max_chars)
 
 
 def line_of(rows: DataFrame, files: DataFrame, line: str) -> DataFrame:

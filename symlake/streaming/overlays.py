@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from symlake.operators.overlay import latest_state
+from symlake.operators.overlay import latest_rows, latest_state
+from symlake.sources.storage import Storage
 
 #: Columns of the delta log.
 LOG = "workspace_id string, symbol_id string, op string, changed_at timestamp"
@@ -37,6 +38,26 @@ def replay(spark, log_path: str, up_to: int | None = None) -> DataFrame:
     return latest_state(log)
 
 
+def replay_rows(spark, log_path: str, key: list[str], up_to: int | None = None) -> DataFrame:
+    """The live rows of a log of any relation, by workspace and ``key``; up to a revision if named.
+
+    :func:`append_deltas` writes such logs as it does those of ids: whole rows of the relation with
+    workspace_id and op beside them.
+    """
+    log = spark.read.option("recursiveFileLookup", "true").parquet(log_path)
+    if up_to is not None:
+        log = log.where(F.col("revision") <= up_to)
+    return latest_rows(log, key)
+
+
+def compaction_due(spark, log_path: str, max_bytes: int = 16 << 20, max_rows: int = 50_000) -> bool:
+    """Whether a log has grown to where it should be compacted."""
+    if Storage(spark).size(log_path) >= max_bytes:
+        return True
+    log = spark.read.option("recursiveFileLookup", "true").parquet(log_path)
+    return log.limit(max_rows).count() >= max_rows
+
+
 def compact(spark, log_path: str, to_path: str) -> None:
     """Writes the live state as one upsert per symbol: a log that replays to the same state."""
     state = replay(spark, log_path)
