@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Marks without a width, used to break up words.
-INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
+INVISIBLE = re.compile("[​‌‍⁠﻿­]")
 
 LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 URL = re.compile(r"(?:https?|ftp)://[^\s)\]>\"']+|\bwww\.[^\s)\]>\"']+", re.I)
@@ -68,8 +68,14 @@ SENTENCE_WORDS, PLAIN, SMALL, VARIED, STRETCH = 5, 0.12, 0.6, 0.6, 50
 
 #: What an enumeration is cut at, sign by sign: a cheap test before the costly split.
 SEPARATOR = re.compile(r"[;|｜•★☆·,/~»›►▪◆\t]|\s{2}|\s[-–—+>]\s")
+ASCII_SEPARATORS = (",", "|", ";", "/", "~", "\t", "  ", " - ", " + ", " > ")
+#: A dot inside a word, as hosts have.
+DOTTED = re.compile(r"\w\.[A-Za-z]")
+#: Signs of code that no list of hosts has.
+MARKED = re.compile(r"[{}<>=;]|\w\(")
 DIGIT = re.compile(r"\d")
 CLOSED = re.compile(r"^\W*[A-ZÀ-ÖØ-ÞΑ-ΩА-Я].*[^.!?…。][.!?…。][\"'”»)\]]*$", re.S)
+SHAPES = ("link", "article", "sentence", "tag", "code", "head", "mark", "phrase")
 #: Shapes of lines that a worker remembers.
 MEMO = 1 << 15
 
@@ -77,7 +83,7 @@ MEMO = 1 << 15
 def units(text: str) -> list[tuple[str, bool]]:
     """``(unit, is member of an enumeration)`` of a text's lines; quoted passages left out."""
     if not text.isascii():
-        text = text.translate(INVISIBLE)
+        text = INVISIBLE.sub("", text)
     if "<" in text:
         text = ANCHOR.sub(r"\n[\2](\1)\n", text)
         text = TAG.sub(" ", BREAK.sub("\n", text))
@@ -100,7 +106,8 @@ def units(text: str) -> list[tuple[str, bool]]:
 
 def _parts(line: str) -> list[tuple[str, bool]]:
     """A line as the members of an enumeration, links kept with their labels, or as it is."""
-    if len(SEPARATOR.findall(line)) < PARTS - 1:
+    n = sum(map(line.count, ASCII_SEPARATORS)) if line.isascii() else len(SEPARATOR.findall(line))
+    if n < PARTS - 1:
         return [(line, False)]
     links = URL.findall(line)
     #: links must not be cut at their own slashes and commas
@@ -114,10 +121,29 @@ def _parts(line: str) -> list[tuple[str, bool]]:
     return [(re.sub("\x00", lambda _: next(left, ""), p), True) for p in parts]
 
 
-def _hosts(unit: str) -> list[str]:
-    """The bare hosts of a unit, if its words are hosts but for a short label."""
-    tokens = [t.strip("-*•[](),;").rstrip(".") for t in unit.split() if "." in t]
-    return [t for t in tokens if t in (t.lower(), t.upper()) and HOST.match(t)]
+def _host(token: str) -> str:
+    """The host that a word is, without what stands around it; empty for others."""
+    bare = token.strip("-*•[](),;").rstrip(".")
+    return bare if "." in bare and bare in (bare.lower(), bare.upper()) and HOST.match(bare) else ""
+
+
+def _hosts(unit: str) -> tuple[list[str], str]:
+    """The bare hosts of a unit and the rest of it, if it begins with one or half of its words are;
+    none of a unit with signs of code."""
+    if not DOTTED.search(unit) or MARKED.search(unit):
+        return [], unit
+    tokens = unit.strip("-*• ").split()
+    hosts = [h for t in tokens if (h := _host(t))]
+    if not hosts or not _host(tokens[0]) and 2 * len(hosts) < len(tokens):
+        return [], unit
+    return hosts, " ".join(t for t in tokens if not _host(t))
+
+
+def _article(text: str) -> bool:
+    """Whether two of price, article number and stock note are there."""
+    if PRICE.search(text):
+        return bool(ARTICLE.search(text) or STOCK.search(text))
+    return bool(ARTICLE.search(text) and STOCK.search(text))
 
 
 def reads_as_sentence(rest: str, words: list[str], plain: int) -> bool:
@@ -144,20 +170,19 @@ def shape(unit: str, member: bool) -> tuple[str, tuple[str, ...]]:
     """
     if member and unit[0] == "#":
         return "tag", (unit[1:].lower(),)
-    links = URL.findall(unit) if "://" in unit or "ww" in unit.lower() else []
+    links = URL.findall(unit) if "://" in unit or "www." in unit or "WWW." in unit else []
+    if not links and not member and unit[-1] in "{};":
+        return "code", tuple(WORD.findall(unit))
     rest = URL.sub(" ", unit) if links else unit
-    if not links and "." in unit:
-        links = _hosts(rest)
-        if links:
-            gone = set(links)
-            rest = " ".join(t for t in rest.split() if t.strip("-*•[](),;").rstrip(".") not in gone)
+    if not links:
+        links, rest = _hosts(unit)
     words = tuple(WORD.findall(rest.lower()))
     plain = sum(map(FUNCTION_WORDS.__contains__, words))
     if links:
         return ("link" if len(words) <= 5 * len(links) and not plain else "sentence"), words
     if member and "." not in unit and "(" not in unit and words:
         return ("phrase" if plain < 0.34 * len(words) else "sentence"), words
-    if DIGIT.search(rest) and sum(p.search(rest) is not None for p in (PRICE, ARTICLE, STOCK)) >= 2:
+    if DIGIT.search(rest) and _article(rest):
         return "article", words
     if not words:
         return "mark", words
@@ -173,15 +198,16 @@ def shape(unit: str, member: bool) -> tuple[str, tuple[str, ...]]:
 def profile(text: str | None) -> dict[str, float]:
     """Weight of each shape, numbers of link and article units, words of phrases and the share of
     them that repeats; all zero for null and blank texts."""
-    weight: Counter = Counter()
-    number: Counter = Counter()
+    weight = dict.fromkeys(SHAPES, 0)
+    number = dict.fromkeys(SHAPES, 0)
     phrases: Counter = Counter()
     for unit, member in units(text or ""):
         kind, words = shape(unit, member)
         number[kind] += 1
-        weight[kind] += max(1, len(words)) + (LINK_WEIGHT if kind == "link" else 0)
+        weight[kind] += len(words) or 1
         if kind == "phrase":
             phrases.update(words)
+    weight["link"] += LINK_WEIGHT * number["link"]
     heap = sum(phrases.values())
     return {
         "total": sum(weight.values()),
