@@ -50,6 +50,13 @@ def symbols_search_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, SEARCHES[:2], kinds=["Class", "Interface"])
 
 
+def symbols_search_written(spark: SparkSession, d: str) -> DataFrame:
+    asked = SEARCHES[:2]
+    rows = rel(spark, d, "symbols", f"{SEARCHED} file_id is_decompiled", search.may_match(asked))
+    near = search.narrowed(rows, rel(spark, d, "files", "path project_name"), file_path="SRC/", decompiled=False, tests=False)
+    return search.search(near, asked, LIMIT)
+
+
 def symbols_resolve_name(spark: SparkSession, d: str) -> DataFrame:
     return search.resolve_names(rel(spark, d, "symbols", SEARCHED, search.may_match(NAMES)), NAMES)
 
@@ -133,6 +140,10 @@ def types_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return graph.type_hierarchy(rel(spark, d, "type_relations", ""), rel(spark, d, "symbols", "kind"))
 
 
+def types_derived(spark: SparkSession, d: str) -> DataFrame:
+    return graph.derived_types(rel(spark, d, "type_relations"), rel(spark, d, "symbols", "fqname"))
+
+
 def interface_members(spark: SparkSession, d: str) -> DataFrame:
     return graph.interface_members(rel(spark, d, "symbols", ""), rel(spark, d, "type_relations", ""))
 
@@ -157,6 +168,10 @@ def surfaces_db_tables(spark: SparkSession, d: str) -> DataFrame:
     return surfaces.db_tables(rel(spark, d, "facts", "symbol_id value confidence", OF_KIND("DbTable")))
 
 
+def surfaces_db_tables_top(spark: SparkSession, d: str) -> DataFrame:
+    return surfaces.db_tables(rel(spark, d, "facts", "symbol_id value confidence", OF_KIND("DbTable")), "s", LIMIT)
+
+
 def surfaces_registrations(spark: SparkSession, d: str) -> DataFrame:
     return surfaces.registrations(rel(spark, d, "facts", "value", OF_KIND("DiRegistration")))
 
@@ -189,6 +204,10 @@ def diff_statistics(spark: SparkSession, d: str) -> DataFrame:
     return diff.diff_statistics(rel(spark, d, "symbols", DIFFED), _snapshots(spark, d))
 
 
+def diff_fact_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return diff.diff_statistics(rel(spark, d, "symbols", DIFFED), _snapshots(spark, d), rel(spark, d, "facts", "value"))
+
+
 def _next_as_overlay(spark: SparkSession, d: str) -> tuple[overlay.Overlay, DataFrame]:
     """Workspaces over every snapshot: the changed files of the next one, keyed by the base."""
     snaps = _snapshots(spark, d)
@@ -241,6 +260,12 @@ def overlay_refs(spark: SparkSession, d: str) -> DataFrame:
     return merged.groupBy("repo_id", "commit_sha", "ref_kind", "side").agg(F.count("*").alias("n_refs"))
 
 
+def overlay_callees(spark: SparkSession, d: str) -> DataFrame:
+    over, _ = _next_as_overlay(spark, d)
+    merged = overlay.merged_callees(rel(spark, d, "refs", "to_symbol_id file_id"), over)
+    return merged.groupBy("repo_id", "commit_sha", "ref_kind", "side").agg(F.count("*").alias("n_refs"))
+
+
 def overlay_facts(spark: SparkSession, d: str) -> DataFrame:
     over, _ = _next_as_overlay(spark, d)
     merged = overlay.merged_facts(rel(spark, d, "facts", "value file_id"), over)
@@ -273,6 +298,14 @@ def summary_services(spark: SparkSession, d: str) -> DataFrame:
     return summary.services(rel(spark, d, "symbols", OWNED), rel(spark, d, "files", "path"))
 
 
+def summary_surface(spark: SparkSession, d: str) -> DataFrame:
+    return summary.public_types(rel(spark, d, "symbols", f"{OWNED} signature"), rel(spark, d, "files", "path"))
+
+
+def summary_data_tables(spark: SparkSession, d: str) -> DataFrame:
+    return summary.data_tables(rel(spark, d, "facts", "value", OF_KIND("DbTable")))
+
+
 def summary_export(spark: SparkSession, d: str) -> DataFrame:
     return summary.export(rel(spark, d, "facts", FACT, SECTIONED), 400, 10)
 
@@ -329,14 +362,14 @@ def search_savings(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = """
-symbols_search symbols_search_filtered symbols_resolve_name symbols_browse index_tokens symbols_card
+symbols_search symbols_search_filtered symbols_search_written symbols_resolve_name symbols_browse index_tokens symbols_card
 refs_find refs_find_calls refs_outgoing refs_excerpts refs_counts refs_unresolved refs_resolve refs_upgraded
-graph_callees graph_callers graph_edges graph_trace_feature types_hierarchy interface_members
+graph_callees graph_callers graph_edges graph_trace_feature types_hierarchy types_derived interface_members
 surfaces_endpoints surfaces_endpoints_get surfaces_config_keys surfaces_config_sections surfaces_db_tables
-surfaces_registrations surfaces_middleware code_search_text code_search_glob code_definition_spans
-diff_symbols diff_facts diff_statistics overlay_changes overlay_deleted overlay_symbols overlay_refs
-overlay_facts overlay_type_relations summary_statistics summary_levels summary_sections
-summary_errors_and_logs summary_services summary_export summary_projects baselines_catalog
+surfaces_db_tables_top surfaces_registrations surfaces_middleware code_search_text code_search_glob code_definition_spans
+diff_symbols diff_facts diff_statistics diff_fact_statistics overlay_changes overlay_deleted overlay_symbols overlay_refs
+overlay_callees overlay_facts overlay_type_relations summary_statistics summary_levels summary_sections
+summary_errors_and_logs summary_services summary_surface summary_data_tables summary_export summary_projects baselines_catalog
 baselines_cleanup baselines_reclaimed structural_ids search_savings plain_ids symbols_context symbols_by_file interface_callers search_answers
 diff_rendered
 """.split()

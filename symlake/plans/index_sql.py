@@ -11,7 +11,7 @@ sym AS (
   SELECT DISTINCT {K}, symbol_id, fqname, lower(trim(kind)) AS kind, file_id, span_start, span_end,
          {SQUEEZE.format('signature')} AS signature, documentation, namespace,
          nullif(regexp_replace(trim(containing_type), '^global::', ''), '') AS containing_type,
-         lower(trim(visibility)) AS visibility, confidence, stable_id
+         lower(trim(visibility)) AS visibility, confidence, stable_id, is_decompiled
   FROM symbols)"""
 REF = f"""
 ref AS (
@@ -246,6 +246,12 @@ fact_diff AS (SELECT * FROM (
   FROM old_fact a FULL JOIN new_fact b ON a.repo_id = b.repo_id AND a.ord = b.ord AND a.fact_kind = b.fact_kind AND a.fact_key = b.fact_key)
   WHERE change_kind IS NOT NULL)"""
 
+_CHANGES = ["Added", "Removed", "Renamed", "SignatureChanged", "VisibilityChanged"]
+_FACT_CHANGES = [(k, c) for k in ("Route", "Config", "DbTable", "DiRegistration") for c in ("Added", "Removed", "Changed")]
+_SYMBOL_COUNTS = ", ".join(f"count(*) FILTER (change_kind = '{c}') AS n_{c.lower()}" for c in _CHANGES)
+_FACT_COUNTS = ", ".join(f"count(*) FILTER (fact_kind = '{k}' AND change_kind = '{c}') AS n_{k.lower()}_{c.lower()}" for k, c in _FACT_CHANGES)
+_ALL_COUNTS = ", ".join(f"coalesce({n}, 0) AS {n}" for n in [*(f"n_{c.lower()}" for c in _CHANGES), *(f"n_{k.lower()}_{c.lower()}" for k, c in _FACT_CHANGES)])
+
 RETENTION = f"""{BASE},
 aged AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY created_at DESC, commit_sha) AS INT) AS age_rank FROM base),
@@ -277,6 +283,17 @@ top AS (
 
 _ROUTE = "split_part(value, ' ', 1) AS method, CASE WHEN contains(value, ' ') THEN regexp_replace(value, '^[^ ]* ', '') ELSE '' END AS path"
 _CONF = "['High', 'Medium', 'Low']"
+TABLES = f"""
+t AS (SELECT {K}, lower(split_part(value, '|', 1)) AS tk, split_part(value, '|', 1) AS name,
+      CASE WHEN contains(value, '|') THEN regexp_replace(value, '^[^|]*\\|', '') ELSE '' END AS origin, symbol_id, confidence,
+      row_number() OVER (PARTITION BY {K}, lower(split_part(value, '|', 1)) ORDER BY value, symbol_id, fact_seq) AS n
+      FROM fact WHERE fact_kind = 'DbTable'),
+g AS (SELECT {K}, tk, min(name) FILTER (n = 1) AS name, min(origin) FILTER (n = 1) AS origin,
+      min(symbol_id) FILTER (n = 1) AS first_referrer, count(DISTINCT symbol_id) AS n_referrers,
+      {_CONF}[max(list_position({_CONF}, confidence))] AS confidence FROM t GROUP BY {K}, tk)"""
+_TABLE_COLUMNS = f"""{K}, CASE WHEN contains(name, '.') THEN split_part(name, '.', 1) END AS schema_name,
+       CASE WHEN contains(name, '.') THEN regexp_replace(name, '^[^.]*\\.', '') ELSE name END AS table_name,
+       CASE WHEN starts_with(origin, 'DbSet') THEN first_referrer END AS entity, n_referrers, confidence"""
 _COUNTS = "count(*) AS n_refs, count(DISTINCT from_symbol_id) AS n_sources, count(DISTINCT to_symbol_id) AS n_targets"
 
 SQL = {
@@ -285,6 +302,9 @@ SQL = {
     "search_savings": f"""WITH {_search(['reader', 'order service', 'Snapshot.Read', 'IQueueStore', 'merge al'], 20)}
 SELECT query, count(*) AS n_hits, count(*) * 750 AS tokens_saved,
        CAST(round(count(*) * 750 / 1000.0 * 0.003, 6) AS DOUBLE) AS usd_saved FROM found GROUP BY query""",
+    "symbols_search_written": f"""WITH {FILE}, {_search(['reader', 'order service'], 20, where="""coalesce(is_decompiled, 0) = 0
+    AND EXISTS (SELECT 1 FROM file f WHERE f.repo_id = tok.repo_id AND f.commit_sha = tok.commit_sha AND f.file_id = tok.file_id
+                AND starts_with(lower(f.path), 'src/') AND NOT (contains(f.path, '.Tests/') OR contains(f.path, '.Benchmarks/') OR contains(f.path, '.TestUtilities/')))""")} SELECT * FROM found""",
     "symbols_resolve_name": f"""WITH {_search(['OrderReader', 'LockReader', 'GaugeTracker'], 21)}
 SELECT query, {K}, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'ambiguous' END AS outcome,
        CASE WHEN count(*) = 1 THEN min(symbol_id) END AS symbol_id,
@@ -348,6 +368,10 @@ SELECT s.repo_id, s.commit_sha, s.symbol_id, base_type, coalesce(interfaces, '')
 FROM sym s LEFT JOIN up u ON u.repo_id = s.repo_id AND u.commit_sha = s.commit_sha AND u.symbol_id = s.symbol_id
 LEFT JOIN down n ON n.repo_id = s.repo_id AND n.commit_sha = s.commit_sha AND n.symbol_id = s.symbol_id
 WHERE kind IN ('class', 'struct', 'interface', 'record', 'enum', 'delegate') AND (u.symbol_id IS NOT NULL OR n.symbol_id IS NOT NULL)""",
+    "types_derived": f"""WITH {SYM}, {REL}
+SELECT DISTINCT r.repo_id, r.commit_sha, related_symbol_id AS symbol_id, type_symbol_id AS derived_id, relation_kind,
+       coalesce(s.fqname, CASE WHEN regexp_matches(type_symbol_id, '^[A-Z]:') THEN substr(type_symbol_id, 3) ELSE type_symbol_id END) AS display_name
+FROM rel r LEFT JOIN sym s ON s.repo_id = r.repo_id AND s.commit_sha = r.commit_sha AND s.symbol_id = r.type_symbol_id""",
     "interface_members": f"""WITH {SYM}, {REL},
 m AS (SELECT {K}, symbol_id, 'T:' || regexp_extract(symbol_id, '^[A-Z]:(.*?)\\.[^.(]+(?:\\(.*)?$', 1) AS type_symbol_id,
       substr(symbol_id, 1, 2) AS k, regexp_extract(symbol_id, '^[A-Z]:.*?(\\.[^.(]+(?:\\(.*)?)$', 1) AS tail
@@ -365,17 +389,10 @@ SELECT {K}, fact_seq, split_part(value, '|', 1) AS key,
     "surfaces_config_sections": f"""WITH {FACT}
 SELECT {K}, split_part(split_part(value, '|', 1), ':', 1) AS section, count(DISTINCT split_part(value, '|', 1)) AS n_keys
 FROM fact WHERE fact_kind = 'Config' GROUP BY ALL""",
-    "surfaces_db_tables": f"""WITH {FACT},
-t AS (SELECT {K}, lower(split_part(value, '|', 1)) AS tk, split_part(value, '|', 1) AS name,
-      CASE WHEN contains(value, '|') THEN regexp_replace(value, '^[^|]*\\|', '') ELSE '' END AS origin, symbol_id, confidence,
-      row_number() OVER (PARTITION BY {K}, lower(split_part(value, '|', 1)) ORDER BY value, symbol_id, fact_seq) AS n
-      FROM fact WHERE fact_kind = 'DbTable'),
-g AS (SELECT {K}, tk, min(name) FILTER (n = 1) AS name, min(origin) FILTER (n = 1) AS origin,
-      min(symbol_id) FILTER (n = 1) AS first_referrer, count(DISTINCT symbol_id) AS n_referrers,
-      {_CONF}[max(list_position({_CONF}, confidence))] AS confidence FROM t GROUP BY {K}, tk)
-SELECT {K}, CASE WHEN contains(name, '.') THEN split_part(name, '.', 1) END AS schema_name,
-       CASE WHEN contains(name, '.') THEN regexp_replace(name, '^[^.]*\\.', '') ELSE name END AS table_name,
-       CASE WHEN starts_with(origin, 'DbSet') THEN first_referrer END AS entity, n_referrers, confidence FROM g""",
+    "surfaces_db_tables": f"WITH {FACT}, {TABLES} SELECT {_TABLE_COLUMNS} FROM g",
+    "surfaces_db_tables_top": f"""WITH {FACT}, {TABLES}
+SELECT {_TABLE_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY tk) AS place FROM g)
+WHERE place <= 20 AND starts_with(lower(CASE WHEN contains(name, '.') THEN regexp_replace(name, '^[^.]*\\.', '') ELSE name END), 's')""",
     "surfaces_registrations": f"""WITH {FACT},
 r AS (SELECT *, regexp_replace(value, '\\|HostedService$', '') AS bare FROM fact WHERE fact_kind = 'DiRegistration'),
 p AS (SELECT *, CASE WHEN contains(bare, '|') THEN regexp_replace(bare, '\\|[^|]*$', '') ELSE bare END AS pair FROM r)
@@ -417,6 +434,11 @@ SELECT {K}, symbol_id, file_id, span_start, span_end, path, first_line, CAST(fir
   count(*) FILTER (change_kind = 'Added') AS n_added, count(*) FILTER (change_kind = 'Removed') AS n_removed,
   count(*) FILTER (change_kind = 'Renamed') AS n_renamed, count(*) FILTER (change_kind = 'SignatureChanged') AS n_signaturechanged,
   count(*) FILTER (change_kind = 'VisibilityChanged') AS n_visibilitychanged FROM d GROUP BY repo_id, ord""",
+    "diff_fact_statistics": f"""WITH {DIFF}, {FACT}, {FACT_DIFF},
+s AS (SELECT repo_id, CAST(ord AS INT) AS ord, {_SYMBOL_COUNTS} FROM d GROUP BY repo_id, ord),
+f AS (SELECT repo_id, ord, {_FACT_COUNTS} FROM fact_diff GROUP BY repo_id, ord)
+SELECT coalesce(s.repo_id, f.repo_id) AS repo_id, coalesce(s.ord, f.ord) AS ord, {_ALL_COUNTS}
+FROM s FULL JOIN f ON f.repo_id = s.repo_id AND f.ord = s.ord""",
     "diff_facts": f"WITH {SNAPSHOTS}, {FACT}, {FACT_DIFF} SELECT * FROM fact_diff",
     "overlay_changes": f"WITH {OVERLAY} SELECT * FROM changed",
     "overlay_deleted": f"WITH {OVERLAY} SELECT * FROM deleted",
@@ -431,6 +453,16 @@ WHERE NOT EXISTS (SELECT 1 FROM deleted x WHERE x.repo_id = y.repo_id AND x.comm
         "ref", f"{K}, ref_kind",
         "NOT EXISTS (SELECT 1 FROM deleted g WHERE g.repo_id = x.repo_id AND g.commit_sha = x.commit_sha AND g.symbol_id = x.to_symbol_id)",
     ) + f" SELECT {K}, ref_kind, side, count(*) AS n_refs FROM merged GROUP BY ALL",
+    "overlay_callees": f"""WITH {OVERLAY}, {REF},
+followed AS (
+  SELECT x.repo_id, s.commit_sha, ref_kind, to_symbol_id, 'overlay' AS side FROM ref x JOIN step s ON s.repo_id = x.repo_id AND s.next_sha = x.commit_sha
+  WHERE EXISTS (SELECT 1 FROM changed c WHERE c.repo_id = x.repo_id AND c.commit_sha = s.commit_sha AND c.file_id = x.file_id)
+  UNION ALL
+  SELECT {K}, ref_kind, to_symbol_id, 'baseline' FROM ref x
+  WHERE NOT EXISTS (SELECT 1 FROM changed c WHERE c.repo_id = x.repo_id AND c.commit_sha = x.commit_sha))
+SELECT {K}, ref_kind, side, count(*) AS n_refs FROM followed x
+WHERE NOT EXISTS (SELECT 1 FROM deleted g WHERE g.repo_id = x.repo_id AND g.commit_sha = x.commit_sha AND g.symbol_id = x.to_symbol_id)
+GROUP BY ALL""",
     "overlay_facts": "WITH " + OVERLAY + "," + FACT + "," + _merge("fact", f"{K}, fact_seq, fact_kind, value") + " SELECT * FROM merged",
     "overlay_type_relations": f"""WITH {OVERLAY}, {REL}
 SELECT x.repo_id, s.commit_sha, type_symbol_id, related_symbol_id, relation_kind, 'overlay' AS side
@@ -472,6 +504,19 @@ LEFT JOIN m ON m.repo_id = s.repo_id AND m.commit_sha = s.commit_sha AND m.fqnam
 WHERE kind IN ('class', 'interface', 'record') AND visibility = 'public'
   AND regexp_matches(regexp_replace(s.fqname, '<.*$', ''), '(?i)(service|controller|handler|repository|manager|processor)$')
   AND NOT regexp_matches(path, '\\.(?:Tests|Benchmarks|TestUtilities)/')""",
+    "summary_surface": f"""WITH {SYM}, {FILE},
+seen AS (SELECT s.* FROM sym s JOIN file f ON f.repo_id = s.repo_id AND f.commit_sha = s.commit_sha AND f.file_id = s.file_id
+  WHERE visibility = 'public' AND NOT (contains(path, '.Tests/') OR contains(path, '.Benchmarks/') OR contains(path, '.TestUtilities/'))),
+types AS (SELECT * FROM seen WHERE kind IN ('class', 'struct', 'interface', 'record', 'enum', 'delegate')
+  AND NOT coalesce(ends_with(fqname, 'AutoGeneratedProgram') OR ends_with(fqname, '<Program>$'), false))
+SELECT {K}, fqname AS type_name, symbol_id, kind, signature FROM types
+UNION ALL
+SELECT {K}, containing_type, symbol_id, kind, signature FROM seen m WHERE kind IN ('method', 'property')
+  AND EXISTS (SELECT 1 FROM types t WHERE t.repo_id = m.repo_id AND t.commit_sha = m.commit_sha AND t.fqname = m.containing_type)""",
+    "summary_data_tables": f"""WITH {FACT},
+one AS (SELECT *, trim(split_part(value, '|', 1)) AS table_name,
+        row_number() OVER (PARTITION BY {K}, lower(trim(split_part(value, '|', 1))) ORDER BY value, fact_seq) AS n FROM fact WHERE fact_kind = 'DbTable')
+SELECT {K}, table_name, value FROM one WHERE n = 1""",
     "summary_export": f"""WITH {SECTIONS},
 b AS (SELECT {K}, section, CAST({_ORDER} AS INT) AS position,
       '## ' || section || chr(10) || array_to_string(list('- ' || item || ' - ' || symbol_name ORDER BY rank), chr(10)) AS body
