@@ -61,7 +61,7 @@ PARTS, PART_WORDS = 6, 6
 LINK_WEIGHT = 3
 #: Share of a page's weight that few shapes hold when they dominate it, and units of links or
 #: articles, words of phrases and share of repeated words that make a list or heap of them.
-DOMINANT, LEAST_UNITS, LEAST_WORDS, REPEATED = 0.5, 8, 20, 0.08
+DOMINANT, LEAST_UNITS, LEAST_WORDS, REPEATED = 0.5, 8, 20, 0.15
 #: Words of a sentence at least, share of function words among them; and where a closing mark
 #: tells it, share of words without a capital, and of different ones in any stretch of words.
 SENTENCE_WORDS, PLAIN, SMALL, VARIED, STRETCH = 5, 0.12, 0.6, 0.6, 50
@@ -69,6 +69,8 @@ SENTENCE_WORDS, PLAIN, SMALL, VARIED, STRETCH = 5, 0.12, 0.6, 0.6, 50
 #: What an enumeration is cut at, sign by sign: a cheap test before the costly split.
 SEPARATOR = re.compile(r"[;|｜•★☆·,/~»›►▪◆\t]|\s{2}|\s[-–—+>]\s")
 ASCII_SEPARATORS = (",", "|", ";", "/", "~", "\t", "  ", " - ", " + ", " > ")
+#: A line that is one encoded run: no words, and no enumeration at its slashes.
+RUN = re.compile(r"(?=.*\d)(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/=_-]{40,}")
 #: A dot inside a word, as hosts have.
 DOTTED = re.compile(r"\w\.[A-Za-z]")
 #: Signs of code that no list of hosts has.
@@ -92,6 +94,9 @@ def units(text: str) -> list[tuple[str, bool]]:
         line = line.strip()
         if not line:
             continue
+        if len(line) >= 40 and " " not in line and RUN.fullmatch(line):
+            out.append(("=", False))
+            continue
         if '"' in line or "“" in line or "„" in line or "«" in line:
             line = QUOTED.sub(" quoted ", line)
         tags = HASHTAG.findall(line) if line.count("#") >= PARTS else ()

@@ -82,6 +82,13 @@ def test_heaps_need_no_known_words_and_quotes_no_end():
     assert spam.spam_kind(spam.profile(quoted)) is None
 
 
+def test_encoded_runs_are_no_words():
+    rng = random.Random(1)
+    run = "".join(rng.choice("ABCDEFabcdef0123456789/+") for _ in range(3_000)) + "aB1"
+    text = "Public Class Box\nReturn True\nEnd Function\n" * 6 + run
+    assert spam.profile(text)["phrase_words"] <= 42 and spam.profile(run)["phrase"] == 0
+
+
 def test_links_keep_their_weight_in_an_enumeration():
     line = " | ".join(f"Site{i} https://www.site{i}.example/a,b/c" for i in range(12))
     assert spam.spam_kind(spam.profile(line)) == "links"
