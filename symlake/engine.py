@@ -148,7 +148,7 @@ class Engine:
 
     def context(self, roots: DataFrame, depth: int = 1, limit: int = 10) -> Answer:
         """Symbols with their code and what they call."""
-        return Answer(context.contexts(roots, self._symbols(), self._refs("refs_by_source"), self.base["files"], depth, limit), {}, self.mode)
+        return Answer(context.contexts(roots, self._symbols(), self._refs("refs_by_source"), self.base["files"], depth, limit, lookup=True), {}, self.mode)
 
     # --- references and graphs ----------------------------------------------------------------
 
@@ -164,7 +164,7 @@ class Engine:
         now, cuts = budget.clamped()
         symbols = self._symbols()
         aliases = context.interface_aliases(roots, symbols, self._relations()) if follow_interface else None
-        nodes, _ = graph.traverse(roots, self._refs(), now.depth, now.results, True, aliases)
+        nodes, _ = graph.traverse(roots, self._refs(), now.depth, now.results, True, aliases, lookup=True)
         return Answer(graph.hydrate(nodes, symbols), cuts, self.mode)
 
     def callees(self, roots: DataFrame, budget: Budget = Budget(depth=1)) -> Answer:
@@ -172,14 +172,14 @@ class Engine:
         now, cuts = budget.clamped()
         own = self.base.get("refs_by_source", self.base["refs"])
         refs = overlay.merged_callees(own, self.over).drop("side") if self.over else own
-        nodes, _ = graph.traverse(roots, refs, now.depth, now.results, False)
+        nodes, _ = graph.traverse(roots, refs, now.depth, now.results, False, lookup=True)
         return Answer(graph.hydrate(nodes, self._symbols()), cuts, self.mode)
 
     def trace(self, roots: DataFrame, budget: Budget = Budget(results=100)) -> Answer:
         """Call trees with facts below entry points."""
         now, cuts = budget.clamped()
         refs = self.base.get("refs_by_source", self.base["refs"])
-        return Answer(graph.trace_feature(roots, refs, self._facts(), now.depth, now.results), cuts, self.mode)
+        return Answer(graph.trace_feature(roots, refs, self._facts(), now.depth, now.results, lookup=True), cuts, self.mode)
 
     def hierarchy(self) -> Answer:
         """One step around every type."""

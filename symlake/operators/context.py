@@ -17,7 +17,13 @@ PART_LINES, SECTIONS = 1000, ["Route", "", "Config", "DbTable", "DiRegistration"
 
 
 def contexts(
-    roots: DataFrame, symbols: DataFrame, refs: DataFrame, files: DataFrame, depth: int = 1, limit: int = 10
+    roots: DataFrame,
+    symbols: DataFrame,
+    refs: DataFrame,
+    files: DataFrame,
+    depth: int = 1,
+    limit: int = 10,
+    lookup: bool = False,
 ) -> DataFrame:
     """Each root with its code and the code of what it calls: ``repo_id, commit_sha, root, depth,
     symbol_id, kind, signature, n_lines, truncated, code``.
@@ -25,7 +31,7 @@ def contexts(
     The root has depth 0 and up to 200 lines, callees up to 50; symbols without stored source
     have no code.
     """
-    nodes, _ = graph.traverse(roots, refs, min(depth, 2), min(limit, MAX_CALLEES), callers=False)
+    nodes, _ = graph.traverse(roots, refs, min(depth, 2), min(limit, MAX_CALLEES), callers=False, lookup=lookup)
     cards = symbols.select(*KEY, "symbol_id", "kind", "signature", "file_id", "span_start", "span_end")
     known = nodes.select(*KEY, "root", "symbol_id", "depth").join(cards, [*KEY, "symbol_id"], "left")
     lines = F.when(F.col("depth") == 0, CODE_LINES).otherwise(CALLEE_LINES)

@@ -20,13 +20,17 @@ CALLS = ["Call", "Instantiate"]
 MAX_DEPTH = 6
 
 
+def _ends(callers: bool) -> tuple[str, str]:
+    return ("to_symbol_id", "from_symbol_id") if callers else ("from_symbol_id", "to_symbol_id")
+
+
 def adjacency(refs: DataFrame, limit: int, callers: bool = True) -> DataFrame:
     """Neighbours each node contributes: ``repo_id, commit_sha, node, other, place``.
 
     The first ``2 * (limit + 1)`` edges of any kind in edge order; of these the calls with
     another end, each neighbour once, the first ``limit + 1``.
     """
-    mine, other = ("to_symbol_id", "from_symbol_id") if callers else ("from_symbol_id", "to_symbol_id")
+    mine, other = _ends(callers)
     edges = refs.where(F.col(mine).isNotNull()).select(
         *KEY, F.col(mine).alias("node"), F.col(other).alias("other"), "ref_kind", "edge_seq"
     )
@@ -39,7 +43,7 @@ def adjacency(refs: DataFrame, limit: int, callers: bool = True) -> DataFrame:
         .agg(F.min("r").alias("r"))
     )
     order = Window.partitionBy(*KEY, "node").orderBy("r")
-    return cut(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit + 1).drop("r"))
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit + 1).drop("r")
 
 
 def traverse(
@@ -49,6 +53,7 @@ def traverse(
     limit: int = 20,
     callers: bool = True,
     aliases: DataFrame | None = None,
+    lookup: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Breadth-first traversal from each root within its snapshot.
 
@@ -58,10 +63,12 @@ def traverse(
     most ``limit`` new nodes per root in the order of their parents; more set ``truncated``;
     edges are recorded even to nodes seen before or not admitted. ``aliases`` (keys, root,
     symbol_id) are nodes whose neighbours count as the root's, such as the interface members
-    a method stands for.
+    a method stands for. The neighbours of all nodes are worked out once and written; with
+    ``lookup``, for few roots, only those of each level's nodes are, from the references that
+    meet them.
     """
     depth = max(0, min(depth, MAX_DEPTH))
-    near = adjacency(refs, limit, callers).withColumnRenamed("node", "at")
+    near = None if lookup else cut(adjacency(refs, limit, callers)).withColumnRenamed("node", "at")
     query = [*KEY, "root"]
     start = roots.select(*query).distinct()
     frontier = start.select(*query, F.col("root").alias("symbol_id"), F.lit(1).alias("place"))
@@ -75,6 +82,10 @@ def traverse(
                 *query, F.col("symbol_id").alias("at"), (F.row_number().over(other) + 1).alias("parent_place")
             )
             parents = parents.unionByName(extra)
+        if lookup:
+            sought = parents.select(*KEY, F.col("at").alias(_ends(callers)[0])).distinct()
+            met = refs.join(sought, sought.columns, "left_semi")
+            near = adjacency(met, limit, callers).withColumnRenamed("node", "at")
         expanded = parents.join(near, [*KEY, "at"])
         if d == 1 and aliases is not None:
             expanded = expanded.withColumn("at", F.col("root"))
@@ -108,14 +119,16 @@ def hydrate(nodes: DataFrame, symbols: DataFrame) -> DataFrame:
     return nodes.join(cards, [*KEY, "symbol_id"], "left").withColumn("kind", F.coalesce("kind", F.lit("method")))
 
 
-def trace_feature(entries: DataFrame, refs: DataFrame, facts: DataFrame, depth: int = 2, limit: int = 20) -> DataFrame:
+def trace_feature(
+    entries: DataFrame, refs: DataFrame, facts: DataFrame, depth: int = 3, limit: int = 100, lookup: bool = False
+) -> DataFrame:
     """Call trees below entry points as pre-order rows: ``repo_id, commit_sha, root, path, depth,
     symbol_id, annotations``.
 
     ``path`` lists the symbols from the root; nodes of several parents repeat, cycles end at
     ``depth``. Annotations are the facts of the symbol, values cut at their first pipe.
     """
-    nodes, edges = traverse(entries, refs, depth, limit, callers=False)
+    nodes, edges = traverse(entries, refs, depth, limit, callers=False, lookup=lookup)
     query = [*KEY, "root"]
     known = nodes.select(*query, F.col("symbol_id").alias("to_node")).distinct()
     links = cut(edges.select(*query, "from_node", "to_node").distinct().join(known, [*query, "to_node"]))

@@ -87,7 +87,7 @@ def refs_outgoing(spark: SparkSession, d: str) -> DataFrame:
 
 def refs_excerpts(spark: SparkSession, d: str) -> DataFrame:
     files = rel(spark, d, "files", "path content")
-    return references.with_excerpt(references.find(rel(spark, d, "refs", PLACED), files, 10), files)
+    return references.with_excerpt(references.find(rel(spark, d, "refs", PLACED), files), files)
 
 
 def refs_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -133,7 +133,7 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_trace_feature(spark: SparkSession, d: str) -> DataFrame:
-    return graph.trace_feature(_route_owners(spark, d), rel(spark, d, "refs", "to_symbol_id"), rel(spark, d, "facts", FACT), DEPTH, LIMIT)
+    return graph.trace_feature(_route_owners(spark, d), rel(spark, d, "refs", "to_symbol_id"), rel(spark, d, "facts", FACT))
 
 
 def types_hierarchy(spark: SparkSession, d: str) -> DataFrame:
@@ -287,7 +287,7 @@ def summary_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def summary_sections(spark: SparkSession, d: str) -> DataFrame:
-    return summary.sections(rel(spark, d, "facts", FACT, SECTIONED), 10)
+    return summary.sections(rel(spark, d, "facts", FACT, SECTIONED))
 
 
 def summary_errors_and_logs(spark: SparkSession, d: str) -> DataFrame:
@@ -307,7 +307,7 @@ def summary_data_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def summary_export(spark: SparkSession, d: str) -> DataFrame:
-    return summary.export(rel(spark, d, "facts", FACT, SECTIONED), 400, 10)
+    return summary.export(rel(spark, d, "facts", FACT, SECTIONED))
 
 
 def summary_projects(spark: SparkSession, d: str) -> DataFrame:

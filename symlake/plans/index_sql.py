@@ -115,7 +115,7 @@ def _excerpt(x: str) -> str:
     return f"CASE WHEN length({t}) > 200 THEN substr({t}, 1, 197) || '...' ELSE {t} END"
 
 
-def _bfs(roots: str, mine: str, other: str, limit: int = 20) -> str:
+def _bfs(roots: str, mine: str, other: str, limit: int = 20, depth: int = 2) -> str:
     q = f"{K}, root"
     out = f"""{REF}, {FACT}, {SYM},
 near0 AS (
@@ -129,7 +129,7 @@ near AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {K}, hub ORDER BY r) AS place FROM near1) WHERE place <= {limit + 1}),
 roots AS ({roots}),
 l0 AS (SELECT {q}, root AS symbol_id, 1 AS place, 0 AS depth, false AS cutoff FROM roots)"""
-    for d in (1, 2):
+    for d in range(1, depth + 1):
         seen = " UNION ALL ".join(f"SELECT {q}, symbol_id FROM l{i}" for i in range(d))
         out += f""",
 e{d} AS (
@@ -146,12 +146,15 @@ l{d} AS (
     SELECT *, row_number() OVER (PARTITION BY {q} ORDER BY first) AS place,
            count(*) OVER (PARTITION BY {q}) > {limit} AS cutoff FROM f{d}) WHERE place <= {limit})"""
     return out + f""",
-reached AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2),
+reached AS ({" UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(depth + 1))}),
 nodes AS (
   SELECT {q}, symbol_id, depth, bool_or(cutoff) OVER (PARTITION BY {q}) AS truncated FROM reached)"""
 
 
 _ROUTES = f"SELECT DISTINCT {K}, symbol_id AS root FROM fact WHERE fact_kind = 'Route'"
+_TREE = """
+t{d} AS (SELECT t.repo_id, t.commit_sha, t.root, path || ' > ' || to_node AS path, {d} AS depth, to_node AS symbol_id FROM t{up} t
+       JOIN link l ON l.repo_id = t.repo_id AND l.commit_sha = t.commit_sha AND l.root = t.root AND l.from_node = t.symbol_id)"""
 _FACES = f"SELECT {K}, symbol_id AS root FROM sym WHERE kind = 'interface'"
 
 OVERLAY = f"""{SNAPSHOTS}, {SYM}, {FILE},
@@ -206,7 +209,7 @@ section AS (
   SELECT {K}, section, rank, item, symbol_name, n_items FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY {K}, section ORDER BY value, fact_seq) AS INT) AS rank,
            count(*) OVER (PARTITION BY {K}, section) AS n_items FROM item)
-  WHERE rank <= 10)"""
+  WHERE rank <= 50)"""
 
 DIFF = f"""{SNAPSHOTS}, {SYM},
 a AS (SELECT y.*, n.ord + 1 AS ord FROM sym y JOIN snaps n USING (repo_id, commit_sha)
@@ -326,7 +329,7 @@ LEFT JOIN note n ON n.repo_id = s.repo_id AND n.commit_sha = s.commit_sha AND n.
     "refs_find": f"WITH {_find('to_symbol_id', 'from_symbol_id', 50, 'true')} SELECT * FROM found",
     "refs_find_calls": f"""WITH {_find('to_symbol_id', 'from_symbol_id', 5, "ref_kind = 'Call' AND resolution_state = 'resolved'")} SELECT * FROM found""",
     "refs_outgoing": f"WITH {_find('from_symbol_id', 'to_symbol_id', 50, 'true')} SELECT * FROM found",
-    "refs_excerpts": f"""WITH {_find('to_symbol_id', 'from_symbol_id', 10, 'true')}
+    "refs_excerpts": f"""WITH {_find('to_symbol_id', 'from_symbol_id', 50, 'true')}
 SELECT d.*, {_excerpt("string_split(content, chr(10))[loc_start]")} AS excerpt
 FROM found d LEFT JOIN file f ON f.repo_id = d.repo_id AND f.commit_sha = d.commit_sha AND f.path = d.path AND content IS NOT NULL""",
     "refs_counts": f"WITH {REF} SELECT {K}, ref_kind, resolution_state, {_COUNTS} FROM ref GROUP BY {K}, ref_kind, resolution_state",
@@ -346,18 +349,16 @@ SELECT n.*, coalesce(s.kind, 'method') AS kind FROM nodes n
 LEFT JOIN sym s ON s.repo_id = n.repo_id AND s.commit_sha = n.commit_sha AND s.symbol_id = n.symbol_id""",
     "graph_edges": f"""WITH {_bfs(_ROUTES, 'from_symbol_id', 'to_symbol_id')}
 SELECT {K}, root, from_node, to_node, depth FROM e1 UNION ALL SELECT {K}, root, from_node, to_node, depth FROM e2""",
-    "graph_trace_feature": f"""WITH {_bfs(_ROUTES, 'from_symbol_id', 'to_symbol_id')},
+    "graph_trace_feature": f"""WITH {_bfs(_ROUTES, 'from_symbol_id', 'to_symbol_id', 100, 3)},
 link AS (
-  SELECT DISTINCT e.repo_id, e.commit_sha, e.root, e.from_node, e.to_node FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2) e
+  SELECT DISTINCT e.repo_id, e.commit_sha, e.root, e.from_node, e.to_node
+  FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3) e
   JOIN nodes n ON n.repo_id = e.repo_id AND n.commit_sha = e.commit_sha AND n.root = e.root AND n.symbol_id = e.to_node),
 t0 AS (SELECT {K}, root, root AS path, 0 AS depth, root AS symbol_id FROM roots),
-t1 AS (SELECT t.repo_id, t.commit_sha, t.root, path || ' > ' || to_node AS path, 1 AS depth, to_node AS symbol_id FROM t0 t
-       JOIN link l ON l.repo_id = t.repo_id AND l.commit_sha = t.commit_sha AND l.root = t.root AND l.from_node = t.symbol_id),
-t2 AS (SELECT t.repo_id, t.commit_sha, t.root, path || ' > ' || to_node AS path, 2 AS depth, to_node AS symbol_id FROM t1 t
-       JOIN link l ON l.repo_id = t.repo_id AND l.commit_sha = t.commit_sha AND l.root = t.root AND l.from_node = t.symbol_id),
+{",".join(_TREE.format(d=d, up=d - 1) for d in (1, 2, 3))},
 note AS (SELECT {K}, symbol_id, array_to_string(list_sort(list(DISTINCT fact_kind || ':' || trim(split_part(value, '|', 1)))), '; ') AS annotations
          FROM fact GROUP BY {K}, symbol_id)
-SELECT t.*, annotations FROM (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2) t
+SELECT t.*, annotations FROM (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3) t
 LEFT JOIN note n ON n.repo_id = t.repo_id AND n.commit_sha = t.commit_sha AND n.symbol_id = t.symbol_id""",
     "types_hierarchy": f"""WITH {SYM}, {REL},
 up AS (SELECT {K}, type_symbol_id AS symbol_id, min(related_symbol_id) FILTER (relation_kind = 'basetype') AS base_type,
@@ -523,10 +524,10 @@ b AS (SELECT {K}, section, CAST({_ORDER} AS INT) AS position,
       FROM section GROUP BY {K}, section),
 r AS (SELECT *, length(body) // 4 AS tokens,
       CAST(sum(length(body) // 4) OVER (PARTITION BY {K} ORDER BY position) AS BIGINT) AS running_tokens FROM b)
-SELECT {K}, section, position, tokens, running_tokens, running_tokens <= 400 AS fits,
-       CASE WHEN running_tokens <= 400 THEN body
-            ELSE regexp_replace(substr(body, 1, (400 - (running_tokens - tokens)) * 4), '\\n[^\\n]*$', chr(10) || '...') END AS body
-FROM r WHERE running_tokens - tokens < 400""",
+SELECT {K}, section, position, tokens, running_tokens, running_tokens <= 4000 AS fits,
+       CASE WHEN running_tokens <= 4000 THEN body
+            ELSE regexp_replace(substr(body, 1, (4000 - (running_tokens - tokens)) * 4), '\\n[^\\n]*$', chr(10) || '...') END AS body
+FROM r WHERE running_tokens - tokens < 4000""",
     "summary_projects": f"""WITH {SYM}, {FILE}
 SELECT f.repo_id, f.commit_sha, project_name, count(DISTINCT f.file_id) AS n_files, count(symbol_id) AS n_symbols
 FROM file f LEFT JOIN sym s ON f.repo_id = s.repo_id AND f.commit_sha = s.commit_sha AND f.file_id = s.file_id
