@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -46,15 +48,34 @@ def cut_with(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
+#: Folders written since the innermost :func:`scratch` began.
+_written: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that :func:`cut` writes inside, at its end: for long sessions, around a
+    query and what reads its result."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return it as a scan of that table.
 
     Ends the lineage: a lost executor re-reads files instead of recomputing, and the planner
     sees the true size of the table, so broadcast decisions rest on a measured bound. The
-    folder is removed when the driver's JVM ends.
+    folder is removed at the end of a :func:`scratch` around it, else with the driver's JVM.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/symlake-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)

@@ -23,13 +23,13 @@ def col(spark, values, f):
 
 
 def test_names(spark):
-    ids = ["M:N.Type`1.Do(System.Int32)", "M:N.Type.#ctor", "T:N.HTMLParser", None]
-    assert col(spark, ids, names.display_name) == ["Do", "Type", "HTMLParser", None]
+    ids = ["M:N.Type`1.Do(System.Int32)", "M:N.Type.#ctor", "T:N.HXQReader", None]
+    assert col(spark, ids, names.display_name) == ["Do", "Type", "HXQReader", None]
     assert col(spark, ["A.B.C(x)", "C", None], names.short_name) == ["B.C", "C", None]
     assert col(spark, ["A.B.C(x)", "C"], names.parent_name) == ["A.B", None]
-    tokens = h.symbols(spark, [{"symbol_id": "T:My.HTMLParser2", "namespace": "My", "signature": "class HTMLParser2", "documentation": "Reads pages, aGoodOne"}])
+    tokens = h.symbols(spark, [{"symbol_id": "T:My.HXQReader2", "namespace": "My", "signature": "class HXQReader2", "documentation": "Reads pages, aGoodOne"}])
     got = search.with_tokens(tokens).first()["tokens"]
-    assert {"htmlparser2", "html", "parser", "my", "my.htmlparser2", "class", "reads", "pages", "good", "one"} <= set(got)
+    assert {"hxqreader2", "hxq", "reader", "my", "my.hxqreader2", "class", "reads", "pages", "good", "one"} <= set(got)
     assert names.query_tokens("Order_Service2*") == ["order", "service2", "service"]
     assert names.sanitize_query('^ab"c') == "abc" and names.sanitize_query('"a b"') == '"a b"'
     import re
@@ -72,23 +72,23 @@ def test_relations_undo_spelling_and_repeats(spark):
 
 @pytest.fixture(scope="module")
 def named(spark):
-    ids = ["T:N.GitService", "T:N.IGitService", "T:N.GitServiceFactory", "M:N.GitService.Open", "T:Other.HTMLParser"]
+    ids = ["T:N.DockService", "T:N.IDockService", "T:N.DockServiceFactory", "M:N.DockService.Open", "T:Other.HXQReader"]
     return relations.symbols(h.symbols(spark, [{"symbol_id": i, "fqname": i[2:], "namespace": i[2:].split(".")[0], "kind": "Class" if i[0] == "T" else "Method"} for i in ids])).cache()
 
 
 def test_search_ranks_exact_prefix_and_parts(named):
-    got = [(r["symbol_id"], r["score"]) for r in search.search(named, ["gitservice"]).orderBy("rank").collect()]
-    assert got[0] == ("T:N.GitService", 125) and ("T:N.GitServiceFactory", 65) in got
-    assert [r["symbol_id"] for r in search.search(named, ["html pars"]).collect()] == ["T:Other.HTMLParser"]
+    got = [(r["symbol_id"], r["score"]) for r in search.search(named, ["dockservice"]).orderBy("rank").collect()]
+    assert got[0] == ("T:N.DockService", 125) and ("T:N.DockServiceFactory", 65) in got
+    assert [r["symbol_id"] for r in search.search(named, ["hxq read"]).collect()] == ["T:Other.HXQReader"]
     assert search.search(named, ["nothing"]).isEmpty()
 
 
 def test_search_limits_filters_and_errors(named):
-    top = search.search(named, ["git"], limit=2).collect()
+    top = search.search(named, ["dock"], limit=2).collect()
     assert len(top) == 2 and all(r["truncated"] for r in top)
-    assert {r["symbol_id"] for r in search.search(named, ["open"], kinds=["Method"]).collect()} == {"M:N.GitService.Open"}
-    assert search.search(named, ["git"], namespace="other").isEmpty()
-    assert {r["symbol_id"] for r in search.search(named, ["h"]).collect()} == {"T:Other.HTMLParser"}
+    assert {r["symbol_id"] for r in search.search(named, ["open"], kinds=["Method"]).collect()} == {"M:N.DockService.Open"}
+    assert search.search(named, ["dock"], namespace="other").isEmpty()
+    assert {r["symbol_id"] for r in search.search(named, ["h"]).collect()} == {"T:Other.HXQReader"}
     with pytest.raises(schemas.InvalidArgument):
         search.search(named, [" "])
     with pytest.raises(schemas.InvalidArgument):
@@ -96,8 +96,8 @@ def test_search_limits_filters_and_errors(named):
 
 
 def test_resolve_names(named):
-    got = {r["query"]: (r["outcome"], r["symbol_id"]) for r in search.resolve_names(named, ["HTMLParser", "GitService", "None"]).collect()}
-    assert got == {"HTMLParser": ("resolved", "T:Other.HTMLParser"), "GitService": ("ambiguous", None)}
+    got = {r["query"]: (r["outcome"], r["symbol_id"]) for r in search.resolve_names(named, ["HXQReader", "DockService", "None"]).collect()}
+    assert got == {"HXQReader": ("resolved", "T:Other.HXQReader"), "DockService": ("ambiguous", None)}
 
 
 # --- graph ------------------------------------------------------------------------------------

@@ -75,6 +75,33 @@ def test_overlay_stream_replays_and_compacts(spark, tmp_path):
     assert per.where("op = 'upsert'").selectExpr("sum(n_changes)").first()[0] == 3
 
 
+def test_tables_written_between_steps_go_with_their_scope(spark):
+    import glob
+
+    from symlake.session import cut, scratch, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/symlake-*"))
+    with scratch(spark):
+        with scratch(spark):
+            inner = cut(spark.range(3))
+            assert inner.count() == 3
+        outer = cut(spark.range(2))
+        assert len(set(glob.glob(f"{folder}/symlake-*")) - before) == 1 and outer.count() == 2
+    assert set(glob.glob(f"{folder}/symlake-*")) == before
+
+
+def test_logs_of_whole_rows_replay(spark, tmp_path):
+    log = str(tmp_path / "rows")
+    rows = lambda r, op, *x: spark.createDataFrame([("w", "f", i, v, op, r) for i, v in x], "workspace_id string, file_id string, edge_seq long, to_symbol_id string, op string, revision long")
+    rows(0, "upsert", (1, "a"), (2, "b")).write.parquet(f"{log}/revision=0")
+    rows(1, "upsert", (1, "c")).unionByName(rows(1, "delete", (2, None))).write.parquet(f"{log}/revision=1")
+    rows(2, "upsert", (2, "d")).write.parquet(f"{log}/revision=2")
+    live = lambda n: {(r["edge_seq"], r["to_symbol_id"]) for r in overlays.replay_rows(spark, log, ["edge_seq"], n).collect()}
+    assert live(0) == {(1, "a"), (2, "b")} and live(1) == {(1, "c")} and live(None) == {(1, "c"), (2, "d")}
+    assert overlays.compaction_due(spark, log, max_rows=5) and not overlays.compaction_due(spark, log)
+
+
 def test_queries_and_sql_have_the_same_names():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and {f"p{n}_found" for n in (1, 3, 4, 5, 6)} <= set(queries)
