@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm import bpe, handwritten, mixing, pairs, spam
+from symlake.llm import bpe, handwritten, mixing, pairs, spam, sql
 from symlake.session import spread, table
 
 
@@ -98,4 +98,4 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL = sql.SQL
