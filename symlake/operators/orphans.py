@@ -115,6 +115,8 @@ def orphan_rows(child: DataFrame, parent: DataFrame) -> DataFrame:
     ``child`` has row_key, repo_id, commit_sha, key; ``parent`` repo_id, commit_sha, key. A
     null or empty child key refers to nothing and gives no row; null parent keys are ignored.
     Repeated child rows give their row_key once. A null repo or commit is a period of its own.
+    The orphans are written out, so that the join back broadcasts them while they are few; beyond
+    that the rows of a hot orphan key are split by the engine's handling of skewed joins.
     """
     k1, k2 = code128(F.col("key"))
     codes = {

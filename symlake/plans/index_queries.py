@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symlake.operators import context, diff, graph, maintenance, overlay, references, search, summary, surfaces, text
 from symlake.operators.snapshots import built_snapshots
 from symlake.plans import index_sql
-from symlake.session import table
+from symlake.session import cut, table
 from symlake.sources import relations
 
 #: Requests of the search queries.
@@ -28,7 +30,9 @@ PLACED = "to_symbol_id file_id loc_start resolution_state"
 OWNED = "fqname kind file_id visibility containing_type"
 FACT = "symbol_id value"
 DIFFED = "kind signature visibility stable_id"
-OVERLAID = "kind signature file_id"
+OVERLAID = {
+    "symbols": "kind signature file_id", "refs": "to_symbol_id file_id", "facts": "value file_id", "type_relations": "",
+}
 OF_KIND = lambda *kinds: f"fact_kind in {(*kinds, kinds[0])}"
 SECTIONED = OF_KIND(*summary.SECTIONS)
 
@@ -208,8 +212,9 @@ def diff_fact_statistics(spark: SparkSession, d: str) -> DataFrame:
     return diff.diff_statistics(rel(spark, d, "symbols", DIFFED), _snapshots(spark, d), rel(spark, d, "facts", "value"))
 
 
-def _next_as_overlay(spark: SparkSession, d: str) -> tuple[overlay.Overlay, DataFrame]:
-    """Workspaces over every snapshot: the changed files of the next one, keyed by the base."""
+def _next_files(spark: SparkSession, d: str) -> tuple[Callable[[DataFrame], DataFrame], DataFrame]:
+    """What brings rows of the next snapshot under the key of the one before, and the file changes
+    between the two."""
     snaps = _snapshots(spark, d)
     base = snaps.select("repo_id", F.col("commit_sha").alias("base_sha"), (F.col("ord") + 1).alias("ord"))
     step = snaps.join(base, ["repo_id", "ord"]).select("repo_id", "commit_sha", "base_sha")
@@ -219,29 +224,34 @@ def _next_as_overlay(spark: SparkSession, d: str) -> tuple[overlay.Overlay, Data
 
     files = rel(spark, d, "files", "path sha256")
     bases = files.join(step.select("repo_id", F.col("base_sha").alias("commit_sha")), ["repo_id", "commit_sha"], "left_semi")
-    changed = overlay.file_changes(bases, ahead(files))
+    return ahead, overlay.file_changes(bases, ahead(files))
+
+
+def _next_as_overlay(spark: SparkSession, d: str, *names: str) -> tuple[overlay.Overlay, dict[str, DataFrame]]:
+    """Workspaces over every snapshot: the changed files of the next one, keyed by the base; and the
+    folded relations of the base. Symbols and those named are written once, as base and workspace
+    both read them."""
+    ahead, changed = _next_files(spark, d)
+    changed = cut(changed)
     mine = changed.select("repo_id", "commit_sha", "file_id")
     inside = lambda df: ahead(df).join(mine, ["repo_id", "commit_sha", "file_id"], "left_semi")
-    before = rel(spark, d, "symbols", OVERLAID)
-    after = inside(before)
-    deleted = overlay.deleted_symbols(before, ahead(before), changed)
+    folded = {n: cut(rel(spark, d, n, OVERLAID[n])) for n in ("symbols", *names)}
+    own = {n: folded[n] if n in folded else rel(spark, d, n, OVERLAID[n]) for n in OVERLAID}
+    after = inside(own["symbols"])
     types = after.select("repo_id", "commit_sha", F.col("symbol_id").alias("type_symbol_id"))
-    relations_ = ahead(rel(spark, d, "type_relations", "")).join(types, ["repo_id", "commit_sha", "type_symbol_id"], "left_semi")
-    return (
-        overlay.Overlay(
-            files=mine,
-            symbols=after,
-            refs=inside(rel(spark, d, "refs", "to_symbol_id file_id")),
-            facts=inside(rel(spark, d, "facts", "value file_id")),
-            type_relations=relations_,
-            deleted=deleted,
-        ),
-        changed,
+    over = overlay.Overlay(
+        files=mine,
+        symbols=after,
+        refs=inside(own["refs"]),
+        facts=inside(own["facts"]),
+        type_relations=ahead(own["type_relations"]).join(types, ["repo_id", "commit_sha", "type_symbol_id"], "left_semi"),
+        deleted=overlay.deleted_symbols(own["symbols"], ahead(own["symbols"]), changed),
     )
+    return over, own
 
 
 def overlay_changes(spark: SparkSession, d: str) -> DataFrame:
-    return _next_as_overlay(spark, d)[1]
+    return _next_files(spark, d)[1]
 
 
 def overlay_deleted(spark: SparkSession, d: str) -> DataFrame:
@@ -249,32 +259,32 @@ def overlay_deleted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlay_symbols(spark: SparkSession, d: str) -> DataFrame:
-    over, _ = _next_as_overlay(spark, d)
-    merged = overlay.merged_symbols(rel(spark, d, "symbols", OVERLAID), over)
+    over, own = _next_as_overlay(spark, d)
+    merged = overlay.merged_symbols(own["symbols"], over)
     return merged.select("repo_id", "commit_sha", "symbol_id", "kind", "signature", "side")
 
 
 def overlay_refs(spark: SparkSession, d: str) -> DataFrame:
-    over, _ = _next_as_overlay(spark, d)
-    merged = overlay.merged_refs(rel(spark, d, "refs", "to_symbol_id file_id"), over)
+    over, own = _next_as_overlay(spark, d, "refs")
+    merged = overlay.merged_refs(own["refs"], over)
     return merged.groupBy("repo_id", "commit_sha", "ref_kind", "side").agg(F.count("*").alias("n_refs"))
 
 
 def overlay_callees(spark: SparkSession, d: str) -> DataFrame:
-    over, _ = _next_as_overlay(spark, d)
-    merged = overlay.merged_callees(rel(spark, d, "refs", "to_symbol_id file_id"), over)
+    over, own = _next_as_overlay(spark, d, "refs")
+    merged = overlay.merged_callees(own["refs"], over)
     return merged.groupBy("repo_id", "commit_sha", "ref_kind", "side").agg(F.count("*").alias("n_refs"))
 
 
 def overlay_facts(spark: SparkSession, d: str) -> DataFrame:
-    over, _ = _next_as_overlay(spark, d)
-    merged = overlay.merged_facts(rel(spark, d, "facts", "value file_id"), over)
+    over, own = _next_as_overlay(spark, d, "facts")
+    merged = overlay.merged_facts(own["facts"], over)
     return merged.select("repo_id", "commit_sha", "fact_seq", "fact_kind", "value", "side")
 
 
 def overlay_type_relations(spark: SparkSession, d: str) -> DataFrame:
-    over, _ = _next_as_overlay(spark, d)
-    merged = overlay.merged_type_relations(rel(spark, d, "type_relations", ""), over)
+    over, own = _next_as_overlay(spark, d, "type_relations")
+    merged = overlay.merged_type_relations(own["type_relations"], over)
     return merged.select("repo_id", "commit_sha", "type_symbol_id", "related_symbol_id", "relation_kind", "side")
 
 
