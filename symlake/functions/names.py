@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: borders inside a compound word, aB, ABc, a1 and 1a.
-CAMEL = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+CAMEL = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[a-zA-Z])(?=[0-9])|(?<=[0-9])(?=[a-zA-Z])"
 
 
 def doc_name(symbol_id: Column) -> Column:
@@ -38,7 +38,7 @@ def parent_name(fqname: Column) -> Column:
 
 
 #: Fixed value: what separates the words of a text.
-NO_WORD = r"[^A-Za-z0-9]+"
+NO_WORD = r"[^a-zA-Z0-9]+"
 
 
 def words(text: Column) -> Column:

@@ -109,15 +109,16 @@ def test_both_ways_give_the_same_hierarchies(spark, limit):
     links = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "d"), ("x", "y"), ("x", "y"), ("y", "z"), ("s", "s"), ("t", "s"), ("w", None), (None, "q"), ("v", " ")]
     links += [(f"n{i}", f"n{random.randrange(i)}") for i in range(1, 60)]
     df = spark.createDataFrame([("g", a, b) for a, b in links] + [("g2", "a", "z")], "group string, node string, parent string")
-    got = {(r["group"], r["node"]): (r["root"], r["depth"], r["on_cycle"], r["n_descendants"]) for r in trees.hierarchies(df, limit).collect()}
+    rows = trees.hierarchies(df, limit).collect()
+    got = {(r["group"], r["node"]): (r["root"], r["depth"], r["on_cycle"], r["n_descendants"]) for r in rows}
     clean = [(a, b if (b or "").strip() else None) for a, b in links if a]
     want = {("g", k): v for k, v in brute_hierarchy(clean).items()} | {("g2", "a"): ("z", 1, False), ("g2", "z"): ("z", 0, False)}
     assert {k: v[:3] for k, v in got.items()} == want
     if limit == 1:
-        other = {(r["group"], r["node"]): r["n_descendants"] for r in trees.hierarchies(df).collect()}
-        assert {k: v[3] for k, v in got.items()} == other
-        paths = lambda d: {(r["group"], r["node"]): r["path"] for r in d.collect()}
-        assert paths(trees.hierarchies(df, 1)) == paths(trees.hierarchies(df))
+        walked = trees.hierarchies(df).collect()
+        assert {k: v[3] for k, v in got.items()} == {(r["group"], r["node"]): r["n_descendants"] for r in walked}
+        paths = lambda d: {(r["group"], r["node"]): r["path"] for r in d}
+        assert paths(rows) == paths(walked)
 
 
 def test_a_chain_at_the_limit_fits_one_task():
